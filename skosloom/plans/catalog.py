@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from skosloom.plans import queries_core
+from skosloom.plans import queries_core, queries_lexicon
 
-QUERIES = dict(queries_core.QUERIES)
-ORACLE = dict(queries_core.ORACLE)
+_MODULES = (queries_lexicon, queries_core)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
