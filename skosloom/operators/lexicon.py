@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skosloom.config import DEFAULTS, Settings
 from skosloom.functions.labels import NULL_TOKENS
 from skosloom.functions.text import adjective_and_base, base_and_complement, label_parts, normalize_text, source_parts, tokens, trim_ws
-from skosloom.plans.skew import lookup
+from skosloom.plans.skew import HOT_KEYS, lookup
 
 RELATION = ["row_id", "child", "child_uri", "parent", "parent_uri", "confidence", "type", "source", "relation_category"]
 
@@ -97,9 +97,11 @@ def label_broader(c: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def _by_base(c: DataFrame, based: DataFrame, settings: Settings, confidence: float, candidate: float, category: str, source: str = "pattern_specialized") -> DataFrame:
     """Links to the concept a base names, else to the base itself where it is a frequent word."""
-    freq = word_frequency(c).where(F.col("freq") >= settings.min_word_frequency).withColumnRenamed("word", "key")
-    found = lookup(based, first_labels(c), "key", ["first_label", "first_uri"])
-    found = lookup(found, freq, "key", ["freq"])
+    freq = word_frequency(c)
+    frequent = freq.where(F.col("freq") >= settings.min_word_frequency).withColumnRenamed("word", "key")
+    known = first_labels(c).join(frequent, "key", "full_outer")
+    hot = freq.where(F.length("word") <= 4096).orderBy(F.desc("freq"), "word").limit(HOT_KEYS).select(F.col("word").alias("key"))
+    found = lookup(based, known, "key", ["first_label", "first_uri", "freq"], hot=hot)
     existing = F.col("first_label").isNotNull()
     kept = found.where(existing | F.col("freq").isNotNull())
     return _relation(kept, F.coalesce("first_label", "key"), F.col("first_uri"), F.when(existing, confidence).otherwise(candidate), existing, source, category)
