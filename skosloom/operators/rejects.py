@@ -92,7 +92,7 @@ def read_records(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def rejected(df: DataFrame, keep: list[str], raw: str = "raw") -> DataFrame:
     """``keep`` columns and ``reason`` of the records that fail."""
-    return read_records(df.select(*keep, raw) if raw not in keep else df, raw).where(F.col("_reason").isNotNull()).select(*keep, F.col("_reason").alias("reason"))
+    return read_records(df.select(*dict.fromkeys([*keep, raw])), raw).where(F.col("_reason").isNotNull()).select(*keep, F.col("_reason").alias("reason"))
 
 
 def loaded(df: DataFrame, keep: list[str], raw: str = "raw") -> DataFrame:
@@ -102,6 +102,6 @@ def loaded(df: DataFrame, keep: list[str], raw: str = "raw") -> DataFrame:
     calls corrupt although its quoting and columns are right is split by the
     grammar that judged it.
     """
-    ok = read_records(df, raw).where(F.col("_reason").isNull())
+    ok = read_records(df.select(*dict.fromkeys([*keep, raw])), raw).where(F.col("_reason").isNull())
     sound = F.col("_f.corrupt").isNull()
     return ok.select(*keep, *[F.coalesce(F.when(sound, F.col(f"_f.f{i}")), unquoted_field(F.col("_raw"), i)).alias(name) for i, name in enumerate(FIELDS)])

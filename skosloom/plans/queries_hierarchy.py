@@ -10,6 +10,7 @@ from skosloom.operators import graph as G
 from skosloom.operators import lexicon as L
 from skosloom.operators import metrics as M
 from skosloom.operators import relations as R
+from skosloom.plans import queries_lexicon as QL
 from skosloom.plans import sql as S
 from skosloom.plans.workspace import Workspace
 from skosloom.sources.tables import table
@@ -277,6 +278,8 @@ ORACLE = {
     "f23_by_type": "SELECT seq, parent FROM relations WHERE type = 'candidate_parent'",
     "f24_violations": f"SELECT count(*)::BIGINT AS n_relations, count(*) FILTER (WHERE child IS NULL OR parent IS NULL OR confidence IS NULL OR type IS NULL OR source IS NULL)::BIGINT AS n_missing_field, count(*) FILTER (WHERE confidence IS NOT NULL AND NOT {_OK})::BIGINT AS n_bad_confidence, count(*) FILTER (WHERE child_uri = parent_uri)::BIGINT AS n_self FROM relations",
     "f26_default_confidence": f"SELECT seq, coalesce(CASE WHEN {_OK} THEN confidence END, {_DEF}, 0.5::DOUBLE) AS confidence FROM relations",
+    "u1_union": "SELECT source, type, count(*)::BIGINT AS n, count(DISTINCT child_uri)::BIGINT AS n_children FROM (SELECT source, type, child_uri FROM (" + QL.ORACLE["j1_explicit_broader"] + ") UNION ALL SELECT source, type, child_uri FROM (" + QL.ORACLE["j2_label_broader"] + ")) GROUP BY 1, 2",
+    "g1_initial_graph": "WITH j AS (" + QL.ORACLE["j1_explicit_broader"] + "), k AS (" + S.with_(S.CONCEPTS) + "SELECT uri FROM c) SELECT DISTINCT child_uri AS child, parent_uri AS parent FROM j WHERE parent_uri IN (SELECT uri FROM k) AND child_uri IN (SELECT uri FROM k)",
     "u4_except": "SELECT DISTINCT child_uri AS uri FROM relations WHERE child_uri IS NOT NULL AND child_uri NOT IN (SELECT uri FROM nodes WHERE uri IS NOT NULL)",
     "a6_candidate_groups": "SELECT parent, count(*)::BIGINT AS n, count(DISTINCT child_uri)::BIGINT AS n_children FROM relations WHERE type = 'candidate_parent' GROUP BY 1",
     "a9_patterns": _PAT,
