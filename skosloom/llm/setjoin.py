@@ -39,7 +39,7 @@ def _must_share(lo: Column, hi: Column, t: float) -> Column:
 
 
 def _ordered(sets: DataFrame, seed: int) -> DataFrame:
-    """``sid``, ``toks`` in the shared random order, ``alone``: how many leading tokens no other set has."""
+    """``sid``, ``toks`` in the shared random order, ``met``: whether another set has the token too."""
     words = sets.select("sid", F.explode(F.split("key", " ")).alias("word"))
     freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     hot = freq.orderBy(F.desc("freq"), "word").limit(1024).select("word")

@@ -59,7 +59,7 @@ def top_parents(relations: DataFrame, nodes: DataFrame, n: int = 3, ws: Workspac
     label is the child with the empty key.
     """
     ws = ws or Workspace(relations.sparkSession, "topbands")
-    usable = relations.where(usable_confidence(F.col("confidence")))
+    usable = relations.select("seq", "child", "child_uri", "parent", "parent_uri", "confidence").where(usable_confidence(F.col("confidence")))
     # -0.0 and 0.0 are one confidence
     best = F.min(F.struct((0.0 - F.col("confidence")).alias("k"), F.col("seq"))).alias("best")
     grouped = ws.cut(with_end_keys(usable).groupBy(*ENDS).agg(best))
