@@ -127,7 +127,7 @@ def cyclic_core(edges: DataFrame, ws: Workspace) -> DataFrame:
     n = e.count()
     while n:
         kids, pars = e.select(F.col("child").alias("parent")).distinct(), e.select(F.col("parent").alias("child")).distinct()
-        e = ws.cut(e.join(kids, "parent", "left_semi").join(pars, "child", "left_semi"))
+        e = ws.cut(e.join(kids, "parent", "left_semi").join(pars, "child", "left_semi").select("parent", "child"))
         left = e.count()
         if left == n:
             break

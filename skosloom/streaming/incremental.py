@@ -34,7 +34,8 @@ def linked(concept_stream: DataFrame, known: DataFrame) -> DataFrame:
 def windowed_counts(link_stream: DataFrame, time: str = "detected_at", window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Links and mean confidence per window and category; rows later than the watermark are dropped."""
     return (
-        link_stream.withWatermark(time, late)
+        link_stream.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, late)
         .groupBy(F.window(time, window), "relation_category")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg_confidence"))
         .select(F.col("window.start").alias("start"), "relation_category", "n", "avg_confidence")
