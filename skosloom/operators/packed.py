@@ -109,7 +109,9 @@ def choose_dialects(texts: DataFrame, ws: Workspace) -> DataFrame:
 
     ``texts`` has ``text`` and ``n``, its number of rows.
     """
-    texts = ws.cut(texts.withColumn("text_id", F.monotonically_increasing_id()))
+    # parsing costs far more than its bytes tell: keep it spread over all tasks
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = ws.cut(texts.repartition(parts, "text").withColumn("text_id", F.monotonically_increasing_id()))
     rich = texts.select("n", F.explode(parse(F.col("text"), F.lit(FULL))).alias("v"))
     counts = rich.groupBy(F.col("v.val").alias("val")).agg(F.sum("n").alias("n"))
     counts = ws.cut(counts.where(F.col("n") > 1))
@@ -119,7 +121,7 @@ def choose_dialects(texts: DataFrame, ws: Workspace) -> DataFrame:
     tried = texts.select("text_id", F.explode(candidates(F.col("text"))).alias("dialect"), "text")
     parsed = tried.select("text_id", "dialect", F.explode_outer(parse(F.col("text"), F.col("dialect"))).alias("v"))
     parsed = parsed.select("text_id", "dialect", F.col("v.val").alias("val"), F.coalesce(F.col("v.quoted"), F.lit(False)).alias("quoted"), F.coalesce(F.col("v.escapes"), F.lit(0)).alias("escapes"))
-    priced = lookup(parsed, codes, "val", ["code_bits"], hot=frequent)
+    priced = lookup(parsed, codes, "val", ["code_bits"], hot=frequent, salt="text_id")
     escapes = F.col("escapes")
     literal = _literal_bits(F.col("val")) + ESCAPE_BITS * escapes
     value_bits = F.when(escapes > 0, literal).otherwise(F.least(literal, F.coalesce(F.col("code_bits"), literal)))
@@ -146,7 +148,7 @@ def split_packed(df: DataFrame, fields: list[str], keep: list[str], pos: str = "
     open_text = (_present(F.col("text")) > 0) | F.col("text").rlike(_LEADS)
     plain = rows.where(~open_text).withColumn("dialect", F.lit(0))
     packed = rows.where(open_text)
-    best = choose_dialects(packed.groupBy("text").agg(F.count(F.lit(1)).alias("n")), ws)
+    best = ws.cut(choose_dialects(packed.groupBy("text").agg(F.count(F.lit(1)).alias("n")), ws))
     read = plain.unionByName(lookup(packed, best, "text", ["dialect"]))
     out = read.select(*[f"_k{i}" for i in range(len(keep))], "_field", F.posexplode(parse(F.col("text"), F.col("dialect"))).alias("_pos", "_v"))
     return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], F.col("_field").alias(field), (F.col("_pos") + 1).cast("int").alias(pos), F.col("_v.val").alias(val))

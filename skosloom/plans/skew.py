@@ -19,7 +19,7 @@ def hot_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
     return usable.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(limit).select(key)
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, values: list[str], hot: DataFrame | None = None) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, key: str, values: list[str], hot: DataFrame | None = None, salt: str | None = None) -> DataFrame:
     """Left join ``df`` to ``table`` (one row per key), safe for hot keys.
 
     The most frequent keys of ``df`` (``HOT_KEYS`` at most, or those of
@@ -27,12 +27,21 @@ def lookup(df: DataFrame, table: DataFrame, key: str, values: list[str], hot: Da
     alone; every other key has a small part of the rows and goes through a
     shuffled join.  Rows without a key get nulls and take no part in the
     shuffle.
+
+    ``df`` is read once for the hot keys and once for the others.  Where it is
+    costly to make, give ``salt``, a column of many values: then all rows pass
+    the shuffle in one reading, those already answered spread by their salt.
     """
     keys = hot_keys(df, key) if hot is None else hot.select(key)
     known = table.select(key, *values)
     hot_rows = F.broadcast(keys).join(known, key, "left").withColumn("_hot", F.lit(True))
     marked = df.join(F.broadcast(hot_rows), key, "left")
     cols = [c for c in df.columns] + values
+    if salt is not None:
+        open_key = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("s"), F.col(salt).cast("string")))
+        table_side = known.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_key"), *[F.col(v).alias(f"_{v}") for v in values])
+        both = marked.withColumn("_key", open_key).join(table_side, "_key", "left")
+        return both.select(*df.columns, *[F.when(F.col("_hot"), F.col(v)).otherwise(F.col(f"_{v}")).alias(v) for v in values])
     done = marked.where(F.col("_hot") | F.col(key).isNull()).select(*cols)
     rest = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *values)
     return done.unionByName(rest.join(known, key, "left").select(*cols))
