@@ -48,6 +48,10 @@ class Workspace:
         out._skosloom_at = at
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Union of tables written by ``cut`` with one schema, as a single scan that packs small files together."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._skosloom_at for t in tables])
+
     def drop(self, df: DataFrame | None = None) -> None:
         """Delete one written table, or all of them (also done at exit)."""
         at = self.path if df is None else getattr(df, "_skosloom_at", None)
