@@ -51,6 +51,8 @@ HTTP_URI = rf"\A[hH][tT][tT][pP][sS]?://(?:(?:[{_UNRES}{_SUB}:]|{_PCT})*@)?{_HOS
 #: Outside the characters of XML 1.0, or the replacement character.
 BAD_TEXT = r"[^\x{9}\x{A}\x{D}\x{20}-\x{D7FF}\x{E000}-\x{FFFC}\x{10000}-\x{10FFFF}]"
 
+#: The reader stops at some 20,000 columns; records with so many tabs are left to the grammar.
+_READER_TABS = 1000
 _SCHEMA = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(FIELDS))] + [T.StructField("corrupt", T.StringType())])
 _OPTIONS = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "multiLine": "true", "maxCharsPerColumn": "-1", "emptyValue": "", "nullValue": "\x00none"}
 
@@ -79,17 +81,31 @@ def _count(raw: Column) -> Column:
 def read_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """``df`` with ``_f`` (the ten fields as read, corrupt text retained) and ``_reason`` (null if valid)."""
     text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\r\z", "")
-    parsed = df.withColumn("_raw", text).withColumn("_f", F.from_csv(F.col("_raw"), F.lit(_SCHEMA.simpleString()), _OPTIONS))
+    tabs = F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit("\t"), F.lit("")))
+    read = F.from_csv(F.when(tabs < _READER_TABS, F.col("_raw")), F.lit(_SCHEMA.simpleString()), _OPTIONS)
+    # exploding an array of one keeps filters above it, so that each record is read once
+    parsed = df.withColumn("_raw", text).select("*", F.explode(F.array(read)).alias("_f"))
     t = F.col("_raw")
+    count_fits = F.when(_sound(), True).otherwise(_count(t) == len(FIELDS))
     reason = (
         F.when(~t.rlike(WELL_QUOTED), "quoting")
-        .when((t == "") | (_count(t) != len(FIELDS)), "columns")
-        .when(~usable_uri(unquoted_field(t, 0)), "uri")
-        .when(unquoted_field(t, 2).rlike(BAD_TEXT), "definition")
+        .when((t == "") | ~count_fits, "columns")
+        .when(~usable_uri(read_field(0)), "uri")
+        .when(read_field(2).rlike(BAD_TEXT), "definition")
     )
     return parsed.withColumn("_reason", reason)
 
 
+def _sound() -> Column:
+    """The reader found ten fields; records with line breaks are left to the grammar, as an unquoted break ends a record for the reader."""
+    return F.col("_f").isNotNull() & F.col("_f.corrupt").isNull() & ~F.col("_raw").rlike(r"[\r\n]")
+
+
+def read_field(n: int) -> Column:
+    """Field ``n`` as the reader gave it, or by the grammar where the reader is not to be trusted."""
+    return F.when(_sound(), F.coalesce(F.col(f"_f.f{n}"), F.lit(""))).otherwise(unquoted_field(F.col("_raw"), n))
+
+
 def rejected(df: DataFrame, keep: list[str], raw: str = "raw") -> DataFrame:
     """``keep`` columns and ``reason`` of the records that fail."""
     return read_records(df.select(*dict.fromkeys([*keep, raw])), raw).where(F.col("_reason").isNotNull()).select(*keep, F.col("_reason").alias("reason"))
@@ -98,10 +114,8 @@ def rejected(df: DataFrame, keep: list[str], raw: str = "raw") -> DataFrame:
 def loaded(df: DataFrame, keep: list[str], raw: str = "raw") -> DataFrame:
     """``keep`` columns and the ten fields of the valid records, null tokens kept as text.
 
-    The reader's fields are taken where it found the record sound; a record it
-    calls corrupt although its quoting and columns are right is split by the
-    grammar that judged it.
+    The reader's fields are taken where it found the record sound; other valid
+    records are split by the grammar that judged them.
     """
     ok = read_records(df.select(*dict.fromkeys([*keep, raw])), raw).where(F.col("_reason").isNull())
-    sound = F.col("_f.corrupt").isNull()
-    return ok.select(*keep, *[F.coalesce(F.when(sound, F.col(f"_f.f{i}")), unquoted_field(F.col("_raw"), i)).alias(name) for i, name in enumerate(FIELDS)])
+    return ok.select(*keep, *[read_field(i).alias(name) for i, name in enumerate(FIELDS)])
