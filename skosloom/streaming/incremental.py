@@ -20,7 +20,7 @@ from skosloom.operators.rejects import read_records
 
 def classified(raw_stream: DataFrame, raw: str = "raw") -> DataFrame:
     """Records of a stream with ``reason`` (null if valid)."""
-    return read_records(raw_stream, raw).withColumnRenamed("_reason", "reason").drop("_raw", "_f")
+    return read_records(raw_stream, raw).withColumnRenamed("_reason", "reason").drop("_raw")
 
 
 def linked(concept_stream: DataFrame, known: DataFrame) -> DataFrame:
