@@ -14,9 +14,13 @@ returned after the same gap as the time before.  A segment is stuffing if
   short period;
 * it has no end of a sentence and its window repeats regularly (menus);
 * its window repeats with a short period almost throughout, unless it reads as
-  prose.
+  prose;
+* it repeats within itself: its terms return at some lag up to ``MAX_LAG``
+  almost throughout, or most of its content terms are back within that distance
+  (a keyword phrase with function words around it).
 
-Whole sentences that return as refrains have a long period and stay prose.  A
+Whole sentences that return as refrains do not repeat within themselves and stay
+prose.  A
 page is flagged if stuffing makes up more than half of its characters.
 
 Defined results: null, empty and blank texts are not flagged; texts of any
@@ -54,7 +58,7 @@ FUNCTION_WORDS = frozenset(
 )
 LIST_SHARE, PROSE_SHARE = 0.12, 0.26
 WINDOW, MAX_LAG, SHORT_LAG = 128, 24, 6
-REGULAR, SHORT_REGULAR, MENU, MENU_TERMS = 0.25, 0.6, 0.08, 10
+REGULAR, SHORT_REGULAR, MENU, MENU_TERMS, DENSE = 0.25, 0.6, 0.08, 10, 0.5
 
 _TAG = re.compile(r"<[^<>]*>")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*", re.I)
@@ -86,6 +90,27 @@ def repetition(codes: np.ndarray) -> tuple[float, float, float]:
     return max(lags), max(lags[:SHORT_LAG]), float(again.sum()) / n
 
 
+def density(terms: list[str]) -> float:
+    """Share of the content terms that are back within ``MAX_LAG`` terms."""
+    last: dict[str, int] = {}
+    near = content = 0
+    for i, t in enumerate(terms):
+        if t not in FUNCTION_WORDS:
+            content += 1
+            near += i - last.get(t, -MAX_LAG - 1) <= MAX_LAG
+            last[t] = i
+    return near / content if content else 0.0
+
+
+def _repeats_within(terms: list[str], codes: np.ndarray) -> bool:
+    n = len(terms)
+    if n < 8:
+        return False
+    # a share of SHORT_REGULAR at a lag up to n / 2 leaves at most this many distinct terms
+    few = len(set(terms)) <= n - SHORT_REGULAR * (n - n // 2)
+    return density(terms) >= DENSE or (few and repetition(codes)[0] >= SHORT_REGULAR)
+
+
 def _is_stuffing(segment: str, terms: list[str], share: float, wide: float, short: float, gaps: float) -> bool:
     if share < LIST_SHARE or sum(t in ("@link", "@tag") for t in terms) * 2 >= len(terms):
         return True
@@ -111,9 +136,10 @@ def stuffed_share(text: str | None) -> float:
         size = len(s.strip())
         total += size
         wide, short, gaps = measures[min(at // WINDOW, len(measures) - 1)]
+        mine = codes[at : at + len(own)]
         at += len(own)
         share = sum(t in FUNCTION_WORDS for t in own) / len(own) if own else 0.0
-        if _is_stuffing(s, own, share, wide, short, gaps):
+        if _is_stuffing(s, own, share, wide, short, gaps) or _repeats_within(own, mine):
             bad += size
     return bad / total if total else 0.0
 

@@ -243,6 +243,17 @@ def test_prose_and_edges(spark):
     assert got[1] == got[2] == 0.0 and got[3] == got[4] > 0.5
 
 
+@pytest.mark.parametrize("end", ["", ",", "."])
+def test_keyword_phrases_with_function_words(end):
+    adverts = ["soldes", "prix", "occasion", "partition gratuite", "neuf"]
+    french = f"{end} ".join(f"votre luth royal et le luth royal {a} pour le luth royal ou luth royal {a} avec luth royal" for a in adverts * 3)
+    german = f"{end} ".join(f"Klage und Klage {a} für Klage oder Klage {a} mit Klage" for a in ("Test", "Preis", "Angebot"))
+    for t in (french, german, PROSE + "\n" + french):
+        assert stuffed_share(t) > 0.5
+    # one phrase of 15 terms, all different, over and over without an end
+    assert stuffed_share("le violon de qualité pour la fête et votre cours en ligne avec une remise " * 12) > 0.5
+
+
 def test_repetition():
     import numpy as np
 
