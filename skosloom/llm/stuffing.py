@@ -4,7 +4,8 @@ A text is cut into segments (lines, and sentences within lines).  Prose shows a
 steady share of function words; keyword, link and tag lists show none, or only
 those of a phrase that returns at regular distances.  For every segment the
 share of function words is taken; for a window of terms around it two measures
-of repetition: the *autocorrelation*, the largest share of positions that hold
+of repetition, segments longer than a window being judged in parts, each by its
+own terms and weighing its characters: the *autocorrelation*, the largest share of positions that hold
 the same term as the position ``lag`` before, over the lags up to ``MAX_LAG``;
 and the *regularity of recurrence gaps*, the share of positions whose term
 returned after the same gap as the time before.  A segment is stuffing if
@@ -69,12 +70,19 @@ _END = re.compile(r"[.!?…:;][\"'»”’)\]\s]*$")
 _LINE = re.compile(r"[\r\n  ]+")
 
 
-def _terms(segment: str) -> list[str]:
-    """Terms of a segment: links are one term, tags are dropped, spaced-out letters are one word."""
-    s = _LINK.sub(" @link ", segment)
-    s = _TAG.sub(" @tag ", s)
+def _terms(segment: str) -> tuple[list[str], list[int]]:
+    """Terms of a segment and their characters: links are one term, tags are dropped, spaced-out letters are one word."""
+    gone: dict[str, list[int]] = {"@link": [], "@tag": []}
+
+    def replaced(name: str):
+        return lambda m: gone[name].append(len(m[0])) or f" {name} "
+
+    s = _LINK.sub(replaced("@link"), segment)
+    s = _TAG.sub(replaced("@tag"), s)
     s = _SPACED.sub(lambda m: m[0].replace(" ", ""), s)
-    return _WORD.findall(s.lower())
+    terms = _WORD.findall(s.lower())
+    sizes = {k: iter(v) for k, v in gone.items()}
+    return terms, [next(sizes[t], len(t)) if t in sizes else len(t) for t in terms]
 
 
 def repetition(codes: np.ndarray) -> tuple[float, float, float]:
@@ -82,7 +90,7 @@ def repetition(codes: np.ndarray) -> tuple[float, float, float]:
     n = len(codes)
     if n < 8:
         return 0.0, 0.0, 0.0
-    lags = [float(np.mean(codes[k:] == codes[:-k])) for k in range(1, min(MAX_LAG, n // 2) + 1)]
+    lags = [int(np.count_nonzero(codes[k:] == codes[:-k])) / (n - k) for k in range(1, min(MAX_LAG, n // 2) + 1)]
     order = np.argsort(codes, kind="stable")
     same = codes[order][1:] == codes[order][:-1]
     gaps = np.diff(order)
@@ -127,21 +135,33 @@ def stuffed_share(text: str | None) -> float:
         return 0.0
     plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
     segments = [s for line in _LINE.split(plain) for s in _CUT.split(line) if s.strip()]
-    terms = [_terms(s) for s in segments]
+    read = [_terms(s) for s in segments]
     ids: dict[str, int] = {}
-    codes = np.fromiter((ids.setdefault(t, len(ids)) for own in terms for t in own), dtype=np.int64)
-    measures = [repetition(codes[a : a + WINDOW]) for a in range(0, max(len(codes), 1), WINDOW)]
-    bad = total = at = 0
-    for s, own in zip(segments, terms, strict=True):
-        size = len(s.strip())
+    codes = np.fromiter((ids.setdefault(t, len(ids)) for own, _ in read for t in own), dtype=np.int64)
+    measures: dict[tuple[int, int], tuple[float, float, float]] = {}
+    bad, total, at = 0.0, 0, 0
+    for s, (terms, sizes) in zip(segments, read, strict=True):
+        size, chars = len(s.strip()), sum(sizes)
         total += size
-        wide, short, gaps = measures[min(at // WINDOW, len(measures) - 1)]
-        mine = codes[at : at + len(own)]
-        at += len(own)
-        share = sum(t in FUNCTION_WORDS for t in own) / len(own) if own else 0.0
-        if _is_stuffing(s, own, share, wide, short, gaps) or _repeats_within(own, mine):
-            bad += size
-    return bad / total if total else 0.0
+        for i in range(0, max(len(terms), 1), WINDOW):
+            own = terms[i : i + WINDOW]
+            window = _window(at, len(terms), i, len(codes))
+            if window not in measures:
+                measures[window] = repetition(codes[slice(*window)])
+            share = sum(t in FUNCTION_WORDS for t in own) / len(own) if own else 0.0
+            if _is_stuffing(s, own, share, *measures[window]) or _repeats_within(own, codes[at + i : at + i + len(own)]):
+                bad += size * sum(sizes[i : i + WINDOW]) / chars if chars else size
+        at += len(terms)
+    return min(1.0, bad / total) if total else 0.0
+
+
+def _window(at: int, size: int, part: int, n: int) -> tuple[int, int]:
+    """Range of up to ``WINDOW`` terms that judges a part of the segment of ``size`` terms at ``at``: within the segment, or around it if it is shorter."""
+    if size >= WINDOW:
+        first = at + min(part, size - WINDOW)
+    else:
+        first = max(0, min(at - (WINDOW - size) // 2, n - WINDOW))
+    return first, min(n, first + WINDOW)
 
 
 def stuffed(text: Column) -> Column:

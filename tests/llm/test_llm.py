@@ -254,6 +254,26 @@ def test_keyword_phrases_with_function_words(end):
     assert stuffed_share("le violon de qualité pour la fête et votre cours en ligne avec une remise " * 12) > 0.5
 
 
+def test_long_segments_are_judged_in_all_their_windows():
+    r = random.Random(3)
+    # prose without ends of sentences: every other term a function word, all others new
+    prose = lambda n: " ".join(w for i in range(n // 2) for w in (r.choice(["le", "une", "dans", "pour", "et", "qui"]), f"mot{r.random():.9f}".replace(".", "")))
+    spam = "achat avec le luth pas cher "
+    assert stuffed_share(prose(70) + " " + spam * 3000) > 0.95
+    assert stuffed_share(prose(128) + " " + spam * 300) > 0.5
+    assert 0 < stuffed_share(spam * 30 + prose(1000)) < 0.5
+    # links weigh their characters, not their terms
+    assert stuffed_share(prose(256) + " " + f"https://www.example.org/{'luth' * 20}/ " * 128) > 0.5
+
+
+def test_short_segments_are_judged_by_what_is_around_them():
+    # the first lines of the menu end a window of prose
+    prose = " ".join(f"mot{i}" if i % 2 else "le" for i in range(120)) + "."
+    menu = ["> Voir tous les luth en ligne"] * 3
+    size = sum(map(len, menu))
+    assert stuffed_share("\n".join([prose, *menu])) == pytest.approx(size / (size + len(prose)))
+
+
 def test_repetition():
     import numpy as np
 
