@@ -3,8 +3,8 @@
 A *dialect* is a set of separators (of ``##``, comma, semicolon, vertical bar,
 line break) and a choice whether a leading double quote quotes a value.  Every
 field is parsed under each dialect its characters allow, each parse is priced
-in bits, and the field is read in its cheapest dialect (minimum description
-length).  The price of a parse is
+in escapes and bits, and the field is read in its cheapest dialect (minimum
+description length).  The price of a parse is
 
 * for the dialect: one bit per separator and one for quoting;
 * for each boundary between values: the bits to name its separator;
@@ -12,10 +12,10 @@ length).  The price of a parse is
   from counts of values over the whole table, and a literal code, a length and
   ``CHAR_BITS`` per character;
 * for a separator or a leading quote that the dialect leaves inside an
-  unquoted value: ``ESCAPE_BITS`` each, and no dictionary code.
+  unquoted value: an escape, and no dictionary code.
 
-Separators always separate in this format, which is why an escape costs more
-than any saving a dictionary can give: a parse never wins by leaving one.
+Separators always separate in this format, which is why escapes are compared
+before bits: no saving of bits, in a field of any length, pays for one.
 
 Defined results: null, empty, ``NULL`` and ``NaN`` fields (trimmed) give no
 rows; empty items give none and take no place; a quote that is never closed is
@@ -36,7 +36,6 @@ from skosloom.plans.workspace import Workspace
 SEPARATORS = ("##", ",", ";", "|", "\n")
 _REGEX = ("##", ",", ";", r"\|", r"\n")
 CHAR_BITS = 6.0
-ESCAPE_BITS = 64.0
 _QUOTED = r'[ \t]*+"[^"]*+(?:""[^"]*+)*+"(?!")'
 _ANY = r"##|[,;|\n]"
 _LEADS = r'(?:\A|##|[,;|\n])[ \t]*+"'
@@ -123,14 +122,14 @@ def choose_dialects(texts: DataFrame, ws: Workspace) -> DataFrame:
     parsed = parsed.select("text_id", "dialect", F.col("v.val").alias("val"), F.coalesce(F.col("v.quoted"), F.lit(False)).alias("quoted"), F.coalesce(F.col("v.escapes"), F.lit(0)).alias("escapes"))
     priced = lookup(parsed, codes, "val", ["code_bits"], hot=frequent, salt="text_id")
     escapes = F.col("escapes")
-    literal = _literal_bits(F.col("val")) + ESCAPE_BITS * escapes
+    literal = _literal_bits(F.col("val"))
     value_bits = F.when(escapes > 0, literal).otherwise(F.least(literal, F.coalesce(F.col("code_bits"), literal)))
     value_bits = F.coalesce(value_bits, F.lit(0.0)) + F.when(F.col("quoted"), 2.0).otherwise(0.0)
     delims = F.bit_count(F.shiftright(F.col("dialect"), 1)).cast("double")
     boundary = 1.0 + F.log2(delims + 1)
     bits = F.sum(value_bits + boundary) + F.first(delims) + F.first(F.col("dialect").bitwiseAND(F.lit(1)).cast("double"))
-    cost = priced.groupBy("text_id", "dialect").agg(bits.alias("bits"))
-    best = cost.groupBy("text_id").agg(F.min(F.struct(F.round("bits", 6).alias("bits"), "dialect"))["dialect"].alias("dialect"))
+    cost = priced.groupBy("text_id", "dialect").agg(F.sum(escapes).alias("escapes"), bits.alias("bits"))
+    best = cost.groupBy("text_id").agg(F.min(F.struct("escapes", F.round("bits", 6).alias("bits"), "dialect"))["dialect"].alias("dialect"))
     return best.join(texts, "text_id").select("text", "dialect")
 
 

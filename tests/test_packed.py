@@ -68,6 +68,14 @@ def test_long_repeated_and_empty(spark):
     assert split_packed(empty, ["f"], ["id"]).collect() == []
 
 
+def test_no_saving_pays_for_an_escape(spark):
+    quoted = '"a, tombeau funèbre, b"; autre'
+    long = ", ".join(f"v{i}" for i in range(150)) + "; last"
+    got, _ = split(spark, [quoted, long, *["tombeau funèbre, x"] * 3000])
+    assert got[0] == ["a, tombeau funèbre, b", "autre"]
+    assert got[1] == [*(f"v{i}" for i in range(150)), "last"]
+
+
 def test_dialects_offered(spark):
     df = spark.createDataFrame([("a",), ("a, b",), ('"a, b"',)], "x string").select(F.size(candidates(F.col("x"))))
     assert [r[0] for r in df.collect()] == [1, 2, 4]
