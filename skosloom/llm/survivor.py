@@ -10,7 +10,8 @@ field is a claim by the set of sources that gave it; accuracies of sources and
 the dependence between them are estimated in turns, dependence from the false
 values two sources share; votes of likely copies are discounted; the value of
 highest posterior survives.  The estimates need only how often each pattern of
-source sets occurs, which is aggregated over all groups once.
+source sets, with the number of values of each, occurs; patterns are aggregated
+over all groups once.
 
 Defined results: a group is two or more rows with the same child and parent; a
 field without a usable value gives -1 (``survivors``) or null (``fuse``); ties
@@ -20,7 +21,10 @@ go to the lowest ``seq``; repeated rows count as rows but vote once per source.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,8 @@ from skosloom.functions.labels import SPACE
 from skosloom.llm.links import ENDS, resolve_ends, usable_confidence, with_end_keys
 from skosloom.plans.workspace import Workspace
 
-#: Sources that keep a name of their own in ``fuse``; all others vote as one.
-MAX_SOURCES = 30
+#: Sources that keep a name of their own in ``fuse`` (one bit each of a bigint); all others and rows without a source vote as one.
+MAX_SOURCES = 60
 FIELDS = ("child", "parent", "confidence", "source")
 
 
@@ -71,9 +75,9 @@ def survivors(relations: DataFrame, nodes: DataFrame, detectors: DataFrame, ws:
 def _claims(relations: DataFrame, nodes: DataFrame, detectors: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
     """``c``, ``p``, ``field``, ``val``, ``votes`` (bits of sources), ``n``, ``seq``: the distinct usable values of each group."""
     names = [r["dkey"] for r in trust_table(detectors).orderBy("trust", "dkey").limit(MAX_SOURCES).collect()]
-    bit = F.lit(1 << len(names)).cast("bigint")
-    for i, k in enumerate(names):
-        bit = F.when(F.col("dkey") == k, F.lit(1 << i).cast("bigint")).otherwise(bit)
+    others = relations.groupBy(detector_key(F.col("source")).alias("dkey")).agg(F.count(F.lit(1)).alias("n")).where(F.col("dkey").isNotNull() & ~F.col("dkey").isin(names))
+    names += [r["dkey"] for r in others.orderBy(F.desc("n"), "dkey").limit(MAX_SOURCES - len(names)).collect()]
+    bit = F.coalesce(*[F.when(F.col("dkey") == k, F.lit(1 << i).cast("bigint")) for i, k in enumerate(names)], F.lit(1 << len(names)).cast("bigint"))
     vals = {"child": F.col("child"), "parent": F.col("parent"), "confidence": F.col("confidence").cast("string"), "source": F.col("dkey")}
     cells = F.explode(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.col(f"ok_{f}"), vals[f]).alias("val")) for f in FIELDS]), lambda x: x["val"].isNotNull())).alias("x")
     rows = _rows(relations, detectors).select(*ENDS, "seq", bit.alias("bit"), cells).select(*ENDS, "seq", "bit", "x.field", "x.val")
@@ -99,20 +103,48 @@ def _independent(accuracy: list[float], copies: list[list[float]], order: list[i
     return weight
 
 
+def _sums(patterns: DataFrame, weights: dict[int, float], sources: int) -> DataFrame:
+    """Expected true (``a``) and false (``b``) values of each source (``s`` = ``t``) and shared by two, and how often two differ (``c``)."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+        members = {v: [s for s in range(sources) if v >> s & 1] for v in weights}
+        for g in batches:
+            for sets, ks, n in zip(g["sets"], g["ks"], g["n"], strict=True):
+                sets, ks = [int(v) for v in sets], [int(k) for k in ks]
+                top = max(weights[v] for v in sets)
+                odds = [math.exp(weights[v] - top) for v in sets]
+                whole = sum(k * o for k, o in zip(ks, odds, strict=True))
+                voting = sorted({s for v in sets for s in members[v]})
+                for v, k, o in zip(sets, ks, odds, strict=True):
+                    p, m = o / whole, float(k * n)
+                    for s in members[v]:
+                        for t in voting:
+                            x = total[s, t]
+                            if v >> t & 1:
+                                x[0] += p * m
+                                x[1] += (1 - p) * m
+                            else:
+                                x[2] += m
+        yield pd.DataFrame([(s, t, *x) for (s, t), x in total.items()], columns=["s", "t", "a", "b", "c"])
+
+    parts = patterns.mapInPandas(sums, "s int, t int, a double, b double, c double")
+    return parts.groupBy("s", "t").agg(*[F.sum(x).alias(x) for x in "abc"])
+
+
 def estimate(patterns: DataFrame, sources: int, rounds: int = 4, copy_rate: float = 0.8, prior: float = 0.1) -> dict[int, float]:
-    """Vote weight of every set of sources that occurs, from ``field``, ``sets`` (source sets of a group's values) and ``n``.
+    """Vote weight of every set of sources that occurs, from ``sets`` (source sets of a group's values), ``ks`` and ``n``.
 
-    Every round sends the driver one row per pair of sets of sources that occur
-    side by side: bounded by the number of sources, not by the data.
+    ``ks`` tells how many values each of the sets has, one if it is not given.
+    Patterns stay with the executors: a round sends the driver a few sums for
+    each pair of sources.
     """
-    side = patterns.select("n", "sets", F.posexplode("sets").alias("i", "votes"))
-    rivals = side.select("n", "votes", F.expr("filter(sets, (x, j) -> j <> i)").alias("others"))
-    stats = rivals.groupBy("votes", "others").agg(F.sum("n").alias("n"))
-    rows = [(r["votes"], tuple(r["others"]), r["n"]) for r in stats.toLocalIterator()]
+    ks = F.col("ks") if "ks" in patterns.columns else F.array_repeat(F.lit(1).cast("bigint"), F.size("sets"))
+    told = patterns.select("sets", ks.alias("ks"), "n")
+    sets = sorted(r[0] for r in told.select(F.explode("sets")).distinct().toLocalIterator())
     accuracy, copies = [0.8] * sources, [[0.0] * sources for _ in range(sources)]
-    sets = {v for v, o, _ in rows} | {x for _, o, _ in rows for x in o}
     weights: dict[int, float] = {}
-    for _ in range(rounds):
+    for _ in range(rounds if sets else 0):
         order = sorted(range(sources), key=lambda s: -accuracy[s])
         weight = _independent(accuracy, copies, order, copy_rate)
         weights = {v: weight(v) for v in sets}
@@ -120,20 +152,13 @@ def estimate(patterns: DataFrame, sources: int, rounds: int = 4, copy_rate: floa
         both_true = [[0.0] * sources for _ in range(sources)]
         both_false = [[0.0] * sources for _ in range(sources)]
         differ = [[0.0] * sources for _ in range(sources)]
-        for votes, others, n in rows:
-            top = max([weights[votes], *(weights[o] for o in others)])
-            mine = math.exp(weights[votes] - top)
-            p = mine / (mine + sum(math.exp(weights[o] - top) for o in others))
-            members = [s for s in range(sources) if votes >> s & 1]
-            for s in members:
-                true[s] += p * n
-                claims[s] += n
-                for t in range(sources):
-                    if t != s and votes >> t & 1:
-                        both_true[s][t] += p * n
-                        both_false[s][t] += (1 - p) * n
-                    elif t != s and any(o >> t & 1 for o in others):
-                        differ[s][t] += n
+        for r in _sums(told, weights, sources).collect():
+            s, t = r["s"], r["t"]
+            if s == t:
+                true[s] += r["a"]
+                claims[s] += r["a"] + r["b"]
+            else:
+                both_true[s][t], both_false[s][t], differ[s][t] = r["a"], r["b"], r["c"]
         accuracy = [min(0.99, max(0.05, true[s] / claims[s])) for s in range(sources)]
         for s in range(sources):
             for t in range(sources):
@@ -159,8 +184,8 @@ def fuse(relations: DataFrame, nodes: DataFrame, detectors: DataFrame, ws: Works
     claims, sources = _claims(relations, nodes, detectors, ws)
     # values with one set of sources are alike to the model: a group is the counts of its sets, not its values
     kinds = claims.groupBy("c", "p", "field", "votes").agg(F.count(F.lit(1)).alias("k"))
-    patterns = kinds.groupBy("c", "p", "field").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("votes", F.least("k", F.lit(2)).cast("int"))))).alias("sets"))
-    patterns = patterns.groupBy("field", "sets").agg(F.count(F.lit(1)).alias("n"))
+    pairs = kinds.groupBy("c", "p", "field").agg(F.array_sort(F.collect_list(F.struct("votes", "k"))).alias("pairs"))
+    patterns = ws.cut(pairs.groupBy(F.col("pairs.votes").alias("sets"), F.col("pairs.k").alias("ks")).agg(F.count(F.lit(1)).alias("n")))
     weights = estimate(patterns, sources)
     table = spark.createDataFrame(sorted(weights.items()) or [(0, 0.0)], "votes bigint, weight double")
     scored = claims.join(F.broadcast(table), "votes", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))

@@ -81,6 +81,32 @@ def test_estimate_finds_copies(spark):
     assert estimate(spark.createDataFrame([], "field string, sets array<bigint>, n bigint"), 2) == {}
 
 
+def test_fusion_counts_every_rival_value(spark, monkeypatch):
+    import skosloom.llm.survivor as m
+
+    nodes = spark.createDataFrame([("u:b", "Beta")], NODES)
+    det = spark.createDataFrame([("first", 1), ("second", 2)], "source string, trust int")
+    # "first" gives 15 confidences for every link, "second" one; "one" and "two" are not listed
+    data = [(g, x, s) for g in range(20) for x, s in [*((i / 100, "first") for i in range(15)), (0.5, "second"), (0.6, "one"), (0.7, "two")]]
+    rel = relations(spark, [(i, "Alpha", f"u:{g}", "Beta", "u:b", x, s, 1) for i, (g, x, s) in enumerate(data)])
+    seen = []
+    monkeypatch.setattr(m, "estimate", lambda p, n: seen.append((rows(p), n)) or estimate(p, n))
+    got = fuse(rel, nodes, det).collect()
+    pats, sources = seen[0]
+    assert sources == 5
+    assert ([1, 2, 4, 8], [15, 1, 1, 1], 20) in [tuple(p) for p in pats]
+    assert len(got) == 20 and all(float(r["confidence"]) >= 0.5 for r in got)
+
+
+def test_estimate_with_multiplicities(spark):
+    schema = "sets array<bigint>, ks array<bigint>, n bigint"
+    w = estimate(spark.createDataFrame([([1, 2], [15, 1], 100), ([3], [1], 30)], schema), 2)
+    same = estimate(spark.createDataFrame([([1] * 15 + [2], 100), ([3], 30)], "sets array<bigint>, n bigint"), 2)
+    assert w == pytest.approx(same)
+    capped = estimate(spark.createDataFrame([([1, 2], [2, 1], 100), ([3], [1], 30)], schema), 2)
+    assert w[1] < capped[1] and w[1] < w[2]
+
+
 # --- top n
 
 
