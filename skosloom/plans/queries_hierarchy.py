@@ -249,7 +249,13 @@ def z7_hierarchy(spark, d):
     links = P.found_links(c, ws, similar=False)
     return P.build_hierarchy(c, links, ws)[1]
 
-QUERIES = {f.__name__: f for f in (f20_conf_bucket, f21_self_ref, f22_confidence_filter, f23_by_type, f24_violations, f26_default_confidence, u1_union, u4_except, a6_candidate_groups, a7_candidate_variants, a9_patterns, a10_mode, a13_dedup_best, a14_dedup_first, a15_score_filter, a17_method_counts, a18_category_stats, a26_sample, a27_random_sample, w1_topk_ties, w3_topn, w5_parent_cap, h2_review_queue, h3_decisions, g1_initial_graph, g4_edges, g9_symmetric_edges, j14_edge_semi, j13_siblings, g5_bounded_redundant, j16_edge_anti, g6_cyclic_core, g7_cycle_break, g8_transitive_reduction, g10_depth, g11_eccentricity, g12_longest_path, a21_metrics, a22_relation_count, a23_reduction_report, a24_integrity, a25_final_metrics, k2_tsv_rows, k13_recommend, k7_concept_xml, k14_relations_json, z7_hierarchy)}
+
+def z7_pipeline(spark, d):
+    """Edges of the hierarchy that the whole pipeline builds from all concepts with its defaults: similarity and discovery included."""
+    return P.run(table(spark, d, "concepts"), ws=Workspace(spark, "z7_pipeline")).edges
+
+
+QUERIES = {f.__name__: f for f in (f20_conf_bucket, f21_self_ref, f22_confidence_filter, f23_by_type, f24_violations, f26_default_confidence, u1_union, u4_except, a6_candidate_groups, a7_candidate_variants, a9_patterns, a10_mode, a13_dedup_best, a14_dedup_first, a15_score_filter, a17_method_counts, a18_category_stats, a26_sample, a27_random_sample, w1_topk_ties, w3_topn, w5_parent_cap, h2_review_queue, h3_decisions, g1_initial_graph, g4_edges, g9_symmetric_edges, j14_edge_semi, j13_siblings, g5_bounded_redundant, j16_edge_anti, g6_cyclic_core, g7_cycle_break, g8_transitive_reduction, g10_depth, g11_eccentricity, g12_longest_path, a21_metrics, a22_relation_count, a23_reduction_report, a24_integrity, a25_final_metrics, k2_tsv_rows, k13_recommend, k7_concept_xml, k14_relations_json, z7_hierarchy, z7_pipeline)}
 
 _OK = "(confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1)"
 _U = f"u AS (SELECT * FROM relations WHERE {_OK})"
