@@ -6,6 +6,11 @@ Decomposition uses the ICU library that ships with Spark, called through
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,21 +53,44 @@ def composed(c: Column) -> Column:
     return _icu(c, "compose")
 
 
+@cache
+def char_class(kinds: str) -> str:
+    """Members of a pattern's class for the general categories that begin with one of ``kinds`` (as ``LN``).
+
+    The JVM's tables may be older than the text: the characters that this
+    Python's tables know and the JVM's do not are added by code point, behind
+    one test of their range.
+    """
+    known = "".join(rf"\p{{{k}}}" for k in kinds)
+    jvm = SparkContext._active_spark_context._jvm
+    told = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c)[0] in kinds)
+    new = [ord(c) for c in jvm.java.util.regex.Pattern.compile(f"[{known}]+").matcher(told).replaceAll("")]
+    if not new:
+        return known
+    runs = [[new[0], new[0]]]
+    for n in new[1:]:
+        if n == runs[-1][1] + 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    return rf"{known}[\x{{{new[0]:X}}}-\x{{{new[-1]:X}}}&&[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]]"
+
+
 def unaccented(c: Column) -> Column:
     """Lower case without combining marks; null becomes empty."""
-    return F.lower(F.regexp_replace(decomposed(c), r"\p{M}+", ""))
+    return F.lower(F.regexp_replace(decomposed(c), f"[{char_class('M')}]+", ""))
 
 
 def words(c: Column) -> Column:
     """Maximal runs of letters and digits after decomposing, dropping marks and lower-casing."""
-    return F.regexp_extract_all(unaccented(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.regexp_extract_all(unaccented(c), F.lit(f"([{char_class('LN')}]+)"), 1)
 
 
 def label_key(c: Column) -> Column:
     """Words of the label without a final parenthesis, joined by one space; null becomes empty."""
     t = strip(F.coalesce(c, F.lit("")))
     head = F.when(t.rlike(LABEL_WITH_TERM), F.regexp_extract(t, LABEL_WITH_TERM, 1)).otherwise(t)
-    return F.trim(F.regexp_replace(unaccented(head), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(unaccented(head), f"[^{char_class('LN')}]+", " "))
 
 
 def node_names(nodes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skosloom.config import ADJECTIVES, STOP_WORDS, SUFFIXES
-from skosloom.functions.labels import decomposed
+from skosloom.functions.labels import char_class, decomposed
 
 #: White space, in a class that Java and RE2 read alike.
 WS = r"[\s\p{Z}]"
@@ -25,7 +25,7 @@ def squeeze(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """Decomposed, without non-spacing marks, lower case, only word characters and hyphens, single blanks; null gives empty."""
     plain = F.lower(F.regexp_replace(decomposed(c), r"\p{Mn}+", ""))
-    return squeeze(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s-]", " "))
+    return squeeze(F.regexp_replace(plain, rf"[^{char_class('LN')}_\s-]", " "))
 
 
 def label_parts(c: Column) -> tuple[Column, Column]:
@@ -58,12 +58,12 @@ def source_parts(c: Column) -> tuple[Column, Column]:
 
 def valid_word(w: Column, stop: tuple[str, ...] = STOP_WORDS, min_length: int = 3) -> Column:
     """Long enough, letters only, and no stop word."""
-    return (F.length(w) >= min_length) & w.rlike(r"^\p{L}+$") & ~w.isin(*stop)
+    return (F.length(w) >= min_length) & w.rlike(f"^[{char_class('L')}]+$") & ~w.isin(*stop)
 
 
 def tokens(c: Column) -> Column:
     """Valid words of a normalised term, in order and with repeats."""
-    parts = F.regexp_extract_all(F.regexp_replace(F.lower(c), "[-_]", " "), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    parts = F.regexp_extract_all(F.regexp_replace(F.lower(c), "[-_]", " "), F.lit(f"([{char_class('LN')}_]+)"), 1)
     return F.filter(parts, lambda w: valid_word(w))
 
 
@@ -82,7 +82,7 @@ def adjective_and_base(c: Column, adjectives: tuple[str, ...] = ADJECTIVES) -> t
 
 def word_set(c: Column) -> Column:
     """Distinct words of the lower-cased label, accents kept."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), 1))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"([{char_class('LNM')}_]+)"), 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -77,6 +77,15 @@ def test_words_against_python(spark, texts):
         assert w == brute_words(texts[i]), repr(texts[i])
 
 
+def test_words_of_every_character(spark):
+    """Every assigned character between two letters, in lines of 64, as Python's tables have it."""
+    known = [chr(i) for i in range(0x20, 0x110000) if unicodedata.category(chr(i)) not in ("Cs", "Cn", "Co")]
+    texts = ["".join(f"a{c}b " for c in known[i : i + 64]) for i in range(0, len(known), 64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", words(F.col("x")).alias("w"), label_key(F.concat(F.col("x"), F.lit("("))).alias("k"))
+    wrong = [(texts[i], w) for i, w, k in df.collect() if w != brute_words(texts[i]) or k != " ".join(w)]
+    assert not wrong
+
+
 def test_label_key(spark):
     assert one(spark, "  Fête de X à Y (recueil) ", label_key) == "fete de x a y"
     assert one(spark, "A (b) (c)", label_key) == "a b"
