@@ -100,7 +100,7 @@ def _by_base(c: DataFrame, based: DataFrame, settings: Settings, confidence: flo
     freq = word_frequency(c)
     frequent = freq.where(F.col("freq") >= settings.min_word_frequency).withColumnRenamed("word", "key")
     known = first_labels(c).join(frequent, "key", "full_outer")
-    hot = freq.where(F.length("word") <= 4096).orderBy(F.desc("freq"), "word").limit(HOT_KEYS).select(F.col("word").alias("key"))
+    hot = freq.orderBy(F.desc("freq"), "word").limit(HOT_KEYS).select(F.col("word").alias("key"))
     found = lookup(based, known, "key", ["first_label", "first_uri", "freq"], hot=hot)
     existing = F.col("first_label").isNotNull()
     kept = found.where(existing | F.col("freq").isNotNull())

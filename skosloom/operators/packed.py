@@ -2,20 +2,28 @@
 
 A *dialect* is a set of separators (of ``##``, comma, semicolon, vertical bar,
 line break) and a choice whether a leading double quote quotes a value.  Every
-field is parsed under each dialect its characters allow, each parse is priced
-in escapes and bits, and the field is read in its cheapest dialect (minimum
-description length).  The price of a parse is
+distinct field is priced in bits under each dialect its characters allow and is
+read in the cheapest one (minimum description length).  The price of a parse is
 
 * for the dialect: one bit per separator and one for quoting;
-* for each boundary between values: the bits to name its separator;
+* for each separator it takes: a code learned from how often each occurs in the
+  table, mixed with an equal share so that none costs over 3.4 bits;
 * for each value: the shorter of a dictionary code, ``log2(N / count)`` bits
-  from counts of values over the whole table, and a literal code, a length and
-  ``CHAR_BITS`` per character;
-* for a separator or a leading quote that the dialect leaves inside an
-  unquoted value: an escape, and no dictionary code.
-
-Separators always separate in this format, which is why escapes are compared
-before bits: no saving of bits, in a field of any length, pays for one.
+  from counts of values over the whole table, and a literal, ``CHAR_BITS`` per
+  character and for its end;
+* for each separator or leading quote left as text, and each separator taken
+  within quotes: an escape; values with an escape have no dictionary code.
+
+The price of an escape is learned too: ``log2`` of the characters read per
+escape that the cheapest parses leave, in rounds that start from half of the
+separators being text (``FIRST_ESCAPE`` bits at least).  Taking a separator
+costs its code, an end and the dialect's bit, 10.4 bits at most, leaving it a
+character and an escape: from 5 bits on separators separate and closed quotes
+quote, in fields of any length and whatever the dictionary knows.  At a lower
+price that a caller sets, separators meant as text stay text.
+
+Each text is parsed once for pricing, with all separators: a dialect that
+leaves some joins neighbouring pieces, so all prices are sums over those pieces.
 
 Defined results: null, empty, ``NULL`` and ``NaN`` fields (trimmed) give no
 rows; empty items give none and take no place; a quote that is never closed is
@@ -26,16 +34,20 @@ whole with possessive patterns, which need no stack.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skosloom.functions.labels import is_null_token
-from skosloom.plans.skew import HOT_KEY_CHARS, HOT_KEYS, lookup
+from skosloom.plans.skew import HOT_KEYS, lookup
 from skosloom.plans.workspace import Workspace
 
 SEPARATORS = ("##", ",", ";", "|", "\n")
 _REGEX = ("##", ",", ";", r"\|", r"\n")
 CHAR_BITS = 6.0
+#: Least bits of an escape in the first round.
+FIRST_ESCAPE = 5.0
 _QUOTED = r'[ \t]*+"[^"]*+(?:""[^"]*+)*+"(?!")'
 _ANY = r"##|[,;|\n]"
 _LEADS = r'(?:\A|##|[,;|\n])[ \t]*+"'
@@ -61,27 +73,36 @@ def _blank_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"\A[ \t]++|[ \t]++\z", "")
 
 
-def _escapes(bare: Column) -> Column:
-    """Separators within unquoted text, and a leading quote."""
-    longer = F.length(F.regexp_replace(bare, _ANY, "\x01\x01\x01")) - F.length(F.regexp_replace(bare, _ANY, ""))
-    return F.when(bare.rlike(_ANY), (longer / 3).cast("int")).otherwise(0) + F.when(F.startswith(bare, F.lit('"')), 1).otherwise(0)
+def parse(text: Column, dialect: Column | int) -> Column:
+    """Non-empty values of ``text`` under ``dialect``, in order.
 
+    The steps are separate ``transform`` calls so that each is evaluated once;
+    a dialect given as a number has its pattern compiled once.
+    """
+    if isinstance(dialect, int):
+        pattern, quoting = F.lit(_PATTERNS[dialect]), F.lit(bool(dialect & 1))
+    else:
+        pattern, quoting = F.element_at(F.lit(_PATTERNS), dialect + 1), dialect.bitwiseAND(F.lit(1)) == 1
+    trimmed = F.filter(F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), _blank_trim), lambda t: t != "")
+    return F.filter(F.transform(trimmed, lambda t: F.when(quoting & F.startswith(t, F.lit('"')), _unquoted(t)).otherwise(t)), lambda v: v != "")
 
-def parse(text: Column, dialect: Column) -> Column:
-    """Non-empty values of ``text`` under ``dialect`` (array of ``val``, ``quoted``, ``escapes``), in order.
 
-    ``escapes`` counts what the dialect leaves to escape outside quotes.  The
-    steps are separate ``transform`` calls so that each is evaluated once.
-    """
-    items = F.regexp_extract_all(text, F.element_at(F.lit(_PATTERNS), dialect + 1), F.lit(1))
-    quoting = dialect.bitwiseAND(F.lit(1)) == 1
-    trimmed = F.filter(F.transform(items, _blank_trim), lambda t: t != "")
-    head = lambda t: F.when(quoting & F.startswith(t, F.lit('"')), F.regexp_extract(t, rf"\A({_QUOTED})", 1)).otherwise("")
-    parts = F.transform(F.transform(trimmed, lambda t: F.struct(t.alias("t"), head(t).alias("h"))), lambda s: F.struct(s["h"].alias("h"), F.substring(s["t"], F.length(s["h"]) + 1, F.length(s["t"])).alias("tail")))
-    body = lambda h: F.replace(F.substring(h, F.lit(2), F.length(h) - 2), F.lit('""'), F.lit('"'))
-    val = lambda s: F.when(s["h"] != "", _blank_trim(F.concat(body(s["h"]), s["tail"]))).otherwise(s["tail"])
-    read = F.transform(parts, lambda s: F.struct(val(s).alias("val"), (s["h"] != "").alias("quoted"), _escapes(s["tail"]).alias("escapes")))
-    return F.filter(read, lambda v: v["val"] != "")
+def _unquoted(t: Column) -> Column:
+    """Value of an item that begins with a quote: its quoted head resolved, with the text behind it; unclosed quotes are text."""
+    head = F.regexp_extract(t, rf"\A({_QUOTED})", 1)
+    body = F.replace(F.substring(head, F.lit(2), F.length(head) - 2), F.lit('""'), F.lit('"'))
+    return F.when(head != "", _blank_trim(F.concat(body, F.substring(t, F.length(head) + 1, F.length(t))))).otherwise(t)
+
+
+def pieces(text: Column) -> Column:
+    """Items of ``text`` with all separators: ``sep`` (bit of the one before, 0 at the start), ``chars``, ``val``, ``quoted``, ``inner`` (separators within quotes, by kind)."""
+    bit = lambda m: F.when(F.startswith(m, F.lit("##")), 1).when(F.startswith(m, F.lit(",")), 2).when(F.startswith(m, F.lit(";")), 4).when(F.startswith(m, F.lit("|")), 8).when(F.startswith(m, F.lit("\n")), 16).otherwise(0)
+    cut = F.transform(F.regexp_extract_all(text, F.lit(_PATTERNS[FULL]), F.lit(0)), lambda m: F.struct(bit(m).alias("sep"), F.regexp_replace(m, rf"\A(?:{_ANY})", "").alias("raw")))
+    cut = F.transform(cut, lambda x: F.struct(x["sep"].alias("sep"), x["raw"].alias("raw"), _blank_trim(x["raw"]).alias("t")))
+    head = lambda t: F.when(F.startswith(t, F.lit('"')), F.regexp_extract(t, rf"\A({_QUOTED})", 1)).otherwise("")
+    cut = F.transform(cut, lambda x: F.struct(x["sep"].alias("sep"), F.length(x["raw"]).alias("chars"), x["t"].alias("t"), head(x["t"]).alias("h")))
+    within = lambda h: F.array(*[((F.length(h) - F.length(F.replace(h, F.lit(x), F.lit("")))) / len(x)).cast("int") for x in SEPARATORS])
+    return F.transform(cut, lambda x: F.struct(x["sep"].alias("sep"), x["chars"].alias("chars"), F.when(F.startswith(x["t"], F.lit('"')), _unquoted(x["t"])).otherwise(x["t"]).alias("val"), (x["h"] != "").alias("quoted"), F.when(x["h"] != "", within(x["h"])).alias("inner")))
 
 
 def _present(text: Column) -> Column:
@@ -99,45 +120,83 @@ def candidates(text: Column) -> Column:
     return F.flatten(F.transform(masks, lambda m: F.transform(quotes, lambda q: m * 2 + q)))
 
 
-def _literal_bits(val: Column) -> Column:
-    return 2.0 + 2 * F.log2(F.length(val) + 1.0) + CHAR_BITS * F.length(val)
+def _widest(text: Column) -> Column:
+    """The candidate that takes every separator of ``text`` and its quotes."""
+    return F.array_max(candidates(text))
+
+
+def _literal_bits(chars: Column) -> Column:
+    return F.when(chars > 0, CHAR_BITS * (chars + 1)).otherwise(0.0)
+
+
+def _price(units: Column, dialect: Column, sep_bits: list[float], escape: float) -> Column:
+    """``bits`` and ``escapes`` of a field under ``dialect``, from its priced pieces (``sep``, ``nxt``, ``chars``, ``quoted``, ``inner``, ``bits``)."""
+    mask, quoting = F.shiftright(dialect, 1), dialect.bitwiseAND(F.lit(1)) == 1
+    left = lambda bit: (bit > 0) & (bit.bitwiseAND(mask) == 0)
+
+    def named(bit: Column) -> Column:
+        out = F.lit(0.0)
+        for i, b in enumerate(sep_bits):
+            out = F.when(bit == 1 << i, b).otherwise(out)
+        return out
+
+    def unit(x: Column) -> Column:
+        joined = left(x["sep"]) | left(x["nxt"])
+        # quotes read as text: the quote itself, and each separator taken within
+        taken = F.aggregate(F.zip_with(F.coalesce(x["inner"], F.array().cast("array<int>")), F.lit([1, 2, 4, 8, 16]), lambda n, bit: F.when(bit.bitwiseAND(mask) > 0, n).otherwise(0)), F.lit(0), lambda a, n: a + n)
+        bare = x["quoted"] & ~quoting
+        escapes = F.when(bare, taken + 1).otherwise(0) + F.when(left(x["sep"]), 1).otherwise(0)
+        own = F.when(bare, _literal_bits(x["chars"]) + taken * (CHAR_BITS + min(sep_bits))).when(joined, CHAR_BITS * (x["chars"] + F.when(left(x["sep"]), 0).otherwise(1))).otherwise(x["bits"])
+        between = F.when(x["sep"] == 0, 0.0).when(left(x["sep"]), CHAR_BITS * F.when(x["sep"] == 1, 2).otherwise(1)).otherwise(named(x["sep"]))
+        return F.struct((own + between).alias("b"), escapes.cast("bigint").alias("e"))
+
+    each = F.transform(units, unit)
+    total = F.aggregate(each, F.struct(F.lit(0.0).alias("b"), F.lit(0).cast("bigint").alias("e")), lambda a, x: F.struct((a["b"] + x["b"]).alias("b"), (a["e"] + x["e"]).alias("e")))
+    return F.transform(F.array(total), lambda x: F.struct((x["b"] + x["e"] * F.lit(escape) + F.bit_count(dialect)).alias("bits"), x["e"].alias("escapes")))[0]
 
 
-def choose_dialects(texts: DataFrame, ws: Workspace) -> DataFrame:
-    """``text``, ``dialect``: the cheapest dialect of each distinct text.
+def choose_dialects(texts: DataFrame, ws: Workspace, first: float = FIRST_ESCAPE, learn: bool = True) -> tuple[DataFrame, int]:
+    """``text``, ``dialect`` of each distinct text whose cheapest dialect is not the widest, and their number.
 
-    ``texts`` has ``text`` and ``n``, its number of rows.
+    ``texts`` has ``text`` and ``n``, its number of rows.  Without ``learn``
+    the price of an escape stays ``first``.  The widest dialect takes every
+    separator and the quotes; it needs no telling.
     """
     # parsing costs far more than its bytes tell: keep it spread over all tasks
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = ws.cut(texts.repartition(parts, "text").withColumn("text_id", F.monotonically_increasing_id()))
-    rich = texts.select("n", F.explode(parse(F.col("text"), F.lit(FULL))).alias("v"))
-    counts = rich.groupBy(F.col("v.val").alias("val")).agg(F.sum("n").alias("n"))
-    counts = ws.cut(counts.where(F.col("n") > 1))
-    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] * 4 + 2.0
-    codes = counts.select("val", (1.0 + F.log2(F.lit(float(total)) / F.col("n"))).alias("code_bits"))
-    frequent = counts.where(F.length("val") <= HOT_KEY_CHARS).orderBy(F.desc("n"), "val").limit(HOT_KEYS).select("val")
-    tried = texts.select("text_id", F.explode(candidates(F.col("text"))).alias("dialect"), "text")
-    parsed = tried.select("text_id", "dialect", F.explode_outer(parse(F.col("text"), F.col("dialect"))).alias("v"))
-    parsed = parsed.select("text_id", "dialect", F.col("v.val").alias("val"), F.coalesce(F.col("v.quoted"), F.lit(False)).alias("quoted"), F.coalesce(F.col("v.escapes"), F.lit(0)).alias("escapes"))
-    priced = lookup(parsed, codes, "val", ["code_bits"], hot=frequent, salt="text_id")
-    escapes = F.col("escapes")
-    literal = _literal_bits(F.col("val"))
-    value_bits = F.when(escapes > 0, literal).otherwise(F.least(literal, F.coalesce(F.col("code_bits"), literal)))
-    value_bits = F.coalesce(value_bits, F.lit(0.0)) + F.when(F.col("quoted"), 2.0).otherwise(0.0)
-    delims = F.bit_count(F.shiftright(F.col("dialect"), 1)).cast("double")
-    boundary = 1.0 + F.log2(delims + 1)
-    bits = F.sum(value_bits + boundary) + F.first(delims) + F.first(F.col("dialect").bitwiseAND(F.lit(1)).cast("double"))
-    cost = priced.groupBy("text_id", "dialect").agg(F.sum(escapes).alias("escapes"), bits.alias("bits"))
-    best = cost.groupBy("text_id").agg(F.min(F.struct("escapes", F.round("bits", 6).alias("bits"), "dialect"))["dialect"].alias("dialect"))
-    return best.join(texts, "text_id").select("text", "dialect")
+    texts = texts.repartition(parts, "text").withColumn("text_id", F.monotonically_increasing_id())
+    texts = ws.cut(texts.withColumn("p", pieces(F.col("text"))))
+    items = texts.select("text_id", "n", F.posexplode("p").alias("pos", "v"))
+    count = lambda bit: F.coalesce(F.sum(F.when(F.col("v.sep") == bit, F.col("n"))), F.lit(0)).alias(f"s{bit}")
+    sums = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("values"), F.coalesce(F.sum(F.col("n") * F.col("v.chars")), F.lit(0)).alias("chars"), *[count(1 << i) for i in range(5)]).first()
+    taken = max(1, sum(sums[f"s{1 << i}"] for i in range(5)))
+    sep_bits = [-math.log2(0.5 * sums[f"s{1 << i}"] / taken + 0.1) for i in range(5)]
+    counts = ws.cut(items.where(F.col("v.val") != "").groupBy(F.col("v.val").alias("val")).agg(F.sum("n").alias("n")).where(F.col("n") > 1))
+    codes = counts.select("val", F.log2(F.lit(float(sums["values"] + 1)) / F.col("n")).alias("code_bits"))
+    frequent = counts.orderBy(F.desc("n"), "val").limit(HOT_KEYS).select("val")
+    priced = lookup(items.select("text_id", "pos", F.col("v.val").alias("val")), codes, "val", ["code_bits"], hot=frequent, salt="text_id")
+    literal = _literal_bits(F.length("val"))
+    bits = priced.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.least(literal, F.coalesce("code_bits", literal)).alias("b")))), lambda x: x["b"]).alias("bits"))
+    units = F.transform("p", lambda x, i: F.struct(x["sep"].alias("sep"), F.coalesce(F.get("p", i + 1)["sep"], F.lit(0)).alias("nxt"), x["chars"].alias("chars"), x["quoted"].alias("quoted"), x["inner"].alias("inner"), (F.get("bits", i) + F.when(x["quoted"], 2.0).otherwise(0.0)).alias("bits")))
+    told = ws.cut(texts.join(bits, "text_id").select("text", "n", units.alias("units")))
+    seen, escape = -1, max(first, math.log2(2.0 * max(1, sums["chars"]) / taken)) if first >= FIRST_ESCAPE else first
+    while True:
+        prices = F.transform(candidates(F.col("text")), lambda d: F.struct(_price(F.col("units"), d, sep_bits, escape).alias("c"), d.alias("d")))
+        best = F.array_min(F.transform(prices, lambda x: F.struct(F.round(x["c"]["bits"], 6).alias("bits"), (-x["d"]).alias("d"), x["c"]["escapes"].alias("escapes"))))
+        found = told.select("text", "n", best.alias("b")).select("text", "n", (-F.col("b.d")).alias("dialect"), F.col("b.escapes").alias("escapes"))
+        found = ws.cut(found.where(F.col("dialect") != _widest(F.col("text"))))
+        left, many = found.agg(F.coalesce(F.sum(F.col("n") * F.col("escapes")), F.lit(0)), F.count(F.lit(1))).first()
+        # with none left a higher price changes nothing
+        if left in (0, seen) or not learn:
+            return found.select("text", "dialect"), many
+        ws.drop(found)
+        seen, escape = left, math.log2((sums["chars"] + 1.0) / (left + 1))
 
 
 def split_packed(df: DataFrame, fields: list[str], keep: list[str], pos: str = "pos", val: str = "val", field: str = "field", ws: Workspace | None = None) -> DataFrame:
     """One row per value of each of ``fields``: ``keep`` columns, field name, place from 1, value.
 
-    Fields that every dialect reads alike are read at once; the others take
-    the dialect of least description length, chosen once per distinct text.
+    Every distinct text takes the dialect of least description length.
     """
     ws = ws or Workspace(df.sparkSession, "packed")
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").alias("t")) for f in fields])).alias("_cell")
@@ -145,9 +204,11 @@ def split_packed(df: DataFrame, fields: list[str], keep: list[str], pos: str = "
     rows = rows.select(*[f"_k{i}" for i in range(len(keep))], F.col("_cell.f").alias("_field"), F.col("_cell.t").alias("text"))
     rows = rows.where(~is_null_token(F.col("text")))
     open_text = (_present(F.col("text")) > 0) | F.col("text").rlike(_LEADS)
-    plain = rows.where(~open_text).withColumn("dialect", F.lit(0))
-    packed = rows.where(open_text)
-    best = ws.cut(choose_dialects(packed.groupBy("text").agg(F.count(F.lit(1)).alias("n")), ws))
-    read = plain.unionByName(lookup(packed, best, "text", ["dialect"]))
-    out = read.select(*[f"_k{i}" for i in range(len(keep))], "_field", F.posexplode(parse(F.col("text"), F.col("dialect"))).alias("_pos", "_v"))
-    return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], F.col("_field").alias(field), (F.col("_pos") + 1).cast("int").alias(pos), F.col("_v.val").alias(val))
+    # fields of the widest dialect need no telling apart: only the others are joined, if there are any
+    other, many = choose_dialects(rows.where(open_text).groupBy("text").agg(F.count(F.lit(1)).alias("n")), ws)
+    told, vals = rows, parse(F.col("text"), FULL)
+    if many:
+        told = lookup(rows, other, "text", ["dialect"])
+        vals = F.when(F.col("dialect").isNull(), vals).otherwise(parse(F.col("text"), F.coalesce("dialect", F.lit(FULL))))
+    out = told.select(*[f"_k{i}" for i in range(len(keep))], "_field", F.posexplode(vals).alias("_pos", "_v"))
+    return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], F.col("_field").alias(field), (F.col("_pos") + 1).cast("int").alias(pos), F.col("_v").alias(val))

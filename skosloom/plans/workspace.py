@@ -2,8 +2,9 @@
 
 Iterative operators write each round as a Parquet table below the folder the
 session names in ``spark.checkpoint.dir`` and read it back, so that a lost
-executor costs a re-read and never a recomputation of all rounds.  Only where
-the setting is missing (tests, local sessions) a local folder is made.
+executor costs a re-read and never a recomputation of all rounds.  Where the
+setting is missing a local session gets a local folder; on a cluster that is an
+error, as executors could not read each other's files.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder for cuts: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder for cuts: ``spark.checkpoint.dir``; a local one only where that is unset and the session is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "root" not in _LOCAL:
         _LOCAL["root"] = "file://" + tempfile.mkdtemp(prefix="skosloom-")
     return _LOCAL["root"]

@@ -3,7 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from skosloom.operators.packed import candidates, split_packed
+from skosloom.operators.packed import FULL, candidates, choose_dialects, parse, split_packed
+from skosloom.plans.workspace import Workspace
 from tests.conftest import rows
 
 ITEM = re.compile(r'(?:##|[,;|\n]|^)([ \t]*"(?:[^"]|"")*"|(?:(?!##)[^,;|\n])*)')
@@ -76,6 +77,23 @@ def test_no_saving_pays_for_an_escape(spark):
     assert got[1] == [*(f"v{i}" for i in range(150)), "last"]
 
 
+def test_bits_decide(spark):
+    """Separators meant as text: at a low price of an escape the parses that leave them are cheapest."""
+    texts = [f"w{i},q{i},r{i}##z{i},t{i}" for i in range(60)] + ["a##b", '"x, y"##z']
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, n bigint")
+
+    def read(first):
+        d, n = choose_dialects(df, Workspace(spark, "t"), first, learn=False)
+        assert d.count() == n
+        d = df.join(d, "text", "left")
+        return {r["text"]: r["v"] for r in d.select("text", parse(F.col("text"), F.coalesce("dialect", F.lit(FULL))).alias("v")).collect()}
+
+    low, high = read(0.5), read(5.0)
+    assert all(low[t] == t.split("##") for t in texts[:60])
+    assert all(high[t] == re.split("##|,", t) for t in texts[:60])
+    assert low["a##b"] == high["a##b"] == ["a", "b"] and high['"x, y"##z'] == ["x, y", "z"]
+
+
 def test_dialects_offered(spark):
     df = spark.createDataFrame([("a",), ("a, b",), ('"a, b"',)], "x string").select(F.size(candidates(F.col("x"))))
     assert [r[0] for r in df.collect()] == [1, 2, 4]
