@@ -6,7 +6,8 @@ only.  The records are replayed backwards, each removed node finding its
 parent already resolved, which gives root, depth and path.
 
 Defined results: a node without a parent is a root (depth 0); of several
-parents of a node the one of lowest id is taken; links to ids that are no node,
+parents of a node the one of lowest id is taken (``other_parents`` gives the
+links left out for that); links to ids that are no node,
 null links and repeated links are ignored; a node that is its own parent is a
 cycle; nodes on or under a cycle have empty ``root`` and ``path`` and depth -1.
 Cost: every round is a fixed number of joins over what is still live, and that
@@ -21,12 +22,10 @@ from pyspark.sql import functions as F
 
 from skosloom.functions.labels import label_key, node_names
 from skosloom.operators.packed import split_packed
-from skosloom.plans.skew import lookup
+from skosloom.plans.skew import HOT_KEYS, lookup
 from skosloom.plans.workspace import Workspace
 
 ARROW = " > "
-#: From so many records on, a replay join counts its hot parents first; below, adaptive execution alone splits them.
-HOT_REPLAY_ROWS = 1_000_000
 
 
 def links(nodes: DataFrame, concepts: DataFrame, ws: Workspace) -> DataFrame:
@@ -45,7 +44,7 @@ def links(nodes: DataFrame, concepts: DataFrame, ws: Workspace) -> DataFrame:
     told = concepts.select("URI", "`skos:broader`", "`skos:narrower`").join(known, "URI", "left_semi")
     vals = split_packed(told, ["skos:broader", "skos:narrower"], ["URI"], ws=ws)
     vals = ws.cut(vals.select("URI", "field", label_key(F.col("val")).alias("label_key")))
-    named = lookup(vals, node_names(nodes), "label_key", ["named_uri"]).where(F.col("named_uri").isNotNull())
+    named = lookup(vals, ws.cut(node_names(nodes)), "label_key", ["named_uri"]).where(F.col("named_uri").isNotNull())
     broader = F.col("field") == "skos:broader"
     by_label = named.select(F.when(broader, F.col("URI")).otherwise(F.col("named_uri")).alias("child"), F.when(broader, F.col("named_uri")).otherwise(F.col("URI")).alias("parent"))
     return by_id.unionByName(by_label).where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
@@ -73,7 +72,7 @@ def _contract(live: DataFrame, r: int) -> DataFrame:
     stay = seen.where(~F.col("leaves")).join(over, "c", "left").select(
         "c",
         F.when(moved, F.col("v_p")).otherwise(F.col("p")).alias("p"),
-        F.when(moved, F.concat("v_via", "v", F.lit(ARROW), "via")).otherwise(F.col("via")).alias("via"),
+        F.when(moved, F.concat("v_via", F.array("v"), "via")).otherwise(F.col("via")).alias("via"),
         F.when(moved, F.col("v_hops") + F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
         F.when(F.col("n").isNull(), "leaf").otherwise("live").alias("kind"),
     )
@@ -86,7 +85,9 @@ def resolve_forest(ids: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame
     edges = ws.cut(edges.select("child", "parent"))
     known = lookup(edges, nodes.select(F.col("node").alias("parent"), F.lit(True).alias("ok")), "parent", ["ok"]).where("ok")
     live = known.groupBy(F.col("child").alias("c")).agg(F.min("parent").alias("p")).join(nodes.withColumnRenamed("node", "c"), "c", "left_semi")
-    first = live = ws.cut(live.select("c", "p", F.lit("").alias("via"), F.lit(0).alias("hops")))
+    first = live = ws.cut(live.select("c", "p", F.array().cast("array<string>").alias("via"), F.lit(0).alias("hops")))
+    # the nodes of most children stay the busiest parents in every round
+    hot = ws.cut(first.groupBy(F.col("p").alias("parent")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "parent").limit(HOT_KEYS).select("parent"))
     records: list[tuple[DataFrame, int]] = []
     while True:
         out = ws.cut(_contract(live, len(records)))
@@ -98,10 +99,10 @@ def resolve_forest(ids: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame
             break
 
     # without leaves every link left is on a cycle, and its text names the nodes spliced out of that cycle
-    on_cycle = live.select(F.explode(F.split(F.concat("via", "c"), ARROW)).alias("node")).distinct()
-    on_cycle = ws.cut(on_cycle.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit("cycle").alias("state")))
+    on_cycle = live.select(F.explode(F.concat("via", F.array("c"))).alias("node")).distinct()
+    on_cycle = ws.cut(on_cycle.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("path"), F.lit("cycle").alias("state")))
     roots = nodes.join(first.select(F.col("c").alias("node")), "node", "left_anti")
-    roots = ws.cut(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").alias("path"), F.lit("tree").alias("state")))
+    roots = ws.cut(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit("tree").alias("state")))
     done = [on_cycle, roots]
     tree = F.col("state") == "tree"
     for record, n in reversed(records):
@@ -109,15 +110,14 @@ def resolve_forest(ids: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame
             continue
         solved = ws.together(done).withColumnRenamed("node", "parent")
         record = record.join(on_cycle.select("node"), "node", "left_anti")
-        values = ["root", "depth", "path", "state"]
-        found = lookup(record, solved, "parent", values) if n > HOT_REPLAY_ROWS else record.join(solved, "parent")
+        found = lookup(record, solved, "parent", ["root", "depth", "path", "state"], hot=hot)
         done.append(
             ws.cut(
                 found.select(
                     "node",
                     F.when(tree, F.col("root")).otherwise("").alias("root"),
                     F.when(tree, F.col("depth") + F.col("hops") + 1).otherwise(-1).alias("depth"),
-                    F.when(tree, F.concat("path", F.lit(ARROW), "via", "node")).otherwise("").alias("path"),
+                    F.when(tree, F.concat("path", "via", F.array("node"))).otherwise(F.array().cast("array<string>")).alias("path"),
                     F.when(tree, F.lit("tree")).otherwise("below_cycle").alias("state"),
                 )
             )
@@ -125,21 +125,34 @@ def resolve_forest(ids: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame
     return ws.together(done)
 
 
+def other_parents(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``child``, ``parent``: links between nodes that a forest leaves out, because the child has a parent of lower id."""
+    nodes = ids.select(F.col("node").alias("id")).where(F.col("id").isNotNull()).distinct()
+    known = edges.select("child", "parent").distinct()
+    known = known.join(nodes, known.child == nodes.id, "left_semi").join(nodes, F.col("parent") == nodes.id, "left_semi")
+    taken = known.groupBy("child").agg(F.min("parent").alias("parent"))
+    return known.join(taken, ["child", "parent"], "left_anti")
+
+
+def resolved(nodes: DataFrame, concepts: DataFrame, ws: Workspace) -> DataFrame:
+    """The forest of all nodes by all written links."""
+    return resolve_forest(nodes.select(F.col("uri").alias("node")), links(nodes, concepts, ws), ws)
+
+
 def hierarchy(nodes: DataFrame, concepts: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """``uri``, ``root_uri``, ``depth``, ``path``, ``state``: one row per distinct ``nodes.uri``."""
-    ws = ws or Workspace(nodes.sparkSession, "forest")
-    solved = resolve_forest(nodes.select(F.col("uri").alias("node")), links(nodes, concepts, ws), ws)
-    return solved.select(F.col("node").alias("uri"), F.col("root").alias("root_uri"), "depth", "path", "state")
+    solved = resolved(nodes, concepts, ws or Workspace(nodes.sparkSession, "forest"))
+    return solved.select(F.col("node").alias("uri"), F.col("root").alias("root_uri"), "depth", F.array_join("path", ARROW).alias("path"), "state")
 
 
 def descendants(solved: DataFrame) -> DataFrame:
     """``uri``, ``descendant``, ``distance``: all pairs of a tree node and a node below it, from the paths."""
-    steps = solved.where(F.col("state") == "tree").select(F.col("uri").alias("descendant"), "depth", F.posexplode(F.split("path", ARROW)).alias("at", "uri"))
+    steps = solved.where(F.col("state") == "tree").select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "uri"))
     return steps.where(F.col("at") < F.col("depth")).select("uri", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
 
 
 def descendant_counts(solved: DataFrame) -> DataFrame:
     """``uri``, ``n_descendants``, ``height``: for every tree node, leaves with 0; aggregated before the shuffle."""
     tree = solved.where(F.col("state") == "tree")
-    below = tree.select("depth", F.posexplode(F.split("path", ARROW)).alias("at", "uri"))
+    below = tree.select("depth", F.posexplode("path").alias("at", "uri"))
     return below.groupBy("uri").agg((F.count(F.lit(1)) - 1).alias("n_descendants"), F.max(F.col("depth") - F.col("at")).cast("int").alias("height"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skosloom.operators.forest import descendant_counts, hierarchy
+from skosloom.operators.forest import descendant_counts, descendants, hierarchy, links, other_parents, resolved
 from skosloom.operators.packed import split_packed
 from skosloom.operators.rejects import BAD_TEXT, FIELDS, HTTP_URI, loaded, rejected
 from skosloom.plans import sql as S
+from skosloom.plans.workspace import Workspace
 from skosloom.sources.tables import table
 
 PACKED_FIELDS = ["skos:altLabel", "skos:broader", "skos:narrower"]
@@ -22,7 +24,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendant_counts(hierarchy(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "concepts")))
+    return descendant_counts(resolved(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "concepts"), Workspace(spark, "forest")))
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of a tree with each of its descendants."""
+    return descendants(resolved(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "concepts"), Workspace(spark, "forest")))
+
+
+def p2_other_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that the forest leaves out, for a child has one parent in it."""
+    nodes = table(spark, sf_dir, "nodes")
+    return other_parents(nodes.select(F.col("uri").alias("node")), links(nodes, table(spark, sf_dir, "concepts"), Workspace(spark, "links")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +46,7 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded(table(spark, sf_dir, "tsv_lines"), ["line_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_descendants, p5_found, p5_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_descendants, p2_pairs, p2_other_parents, p5_found, p5_loaded)}
 
 
 # --- the same results in SQL ---
@@ -76,6 +89,8 @@ ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_PACKED} SELECT row_id, field, pos, val FROM vals",
     "p2_found": f"WITH RECURSIVE {_PACKED}, {NAMES}, {_LINKS} SELECT * FROM found",
     "p2_descendants": f"WITH RECURSIVE {_PACKED}, {NAMES}, {_LINKS}, up2 AS (SELECT depth, unnest(string_split(path, ' > ')) AS uri, unnest(range(depth + 1)) AS step FROM tree) SELECT uri, (count(*) - 1)::BIGINT AS n_descendants, max(depth - step)::INT AS height FROM up2 GROUP BY 1",
+    "p2_pairs": f"WITH RECURSIVE {_PACKED}, {NAMES}, {_LINKS}, up2 AS (SELECT uri AS descendant, depth, unnest(string_split(path, ' > ')) AS uri, unnest(range(depth + 1)) AS step FROM tree) SELECT uri, descendant, (depth - step)::INT AS distance FROM up2 WHERE step < depth",
+    "p2_other_parents": f"WITH {_PACKED}, {NAMES}, {_LINKS.split('tree AS (')[0].rstrip().rstrip(',')} SELECT DISTINCT c AS child, p AS parent FROM l0 WHERE c IN (SELECT uri FROM ids) AND p IN (SELECT uri FROM ids) AND (c, p) NOT IN (SELECT (c, p) FROM e)",
     "p5_found": f"WITH {_JUDGED} SELECT line_id, reason FROM j WHERE reason IS NOT NULL",
     "p5_loaded": f"WITH {_JUDGED} SELECT line_id, " + ", ".join(f'{_UNQUOTE(f"f[{i}]")} AS "{n}"' for i, n in enumerate(FIELDS, 1)) + " FROM j WHERE reason IS NULL",
 }

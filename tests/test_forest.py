@@ -1,6 +1,6 @@
 import random
 
-from skosloom.operators.forest import descendants, hierarchy, resolve_forest
+from skosloom.operators.forest import descendants, hierarchy, other_parents, resolve_forest, resolved
 from skosloom.plans.workspace import Workspace
 from tests.conftest import rows
 
@@ -40,7 +40,7 @@ def test_random_forests(spark):
             parents[f"c{k}n{i}"] = f"c{k}n{(i + 1) % k}"
         for i in range(5):
             parents[f"c{k}b{i}"] = f"c{k}b{i - 1}" if i else f"c{k}n0"
-    got = {x["node"]: (x["root"], x["depth"], x["path"], x["state"]) for x in solve(spark, parents).collect()}
+    got = {x["node"]: (x["root"], x["depth"], " > ".join(x["path"]), x["state"]) for x in solve(spark, parents).collect()}
     assert got == brute(parents)
 
 
@@ -53,7 +53,7 @@ def test_links_from_all_places(spark):
     h = hierarchy(nodes, concepts)
     assert h.columns == ["uri", "root_uri", "depth", "path", "state"]
     assert rows(h) == sorted([("u:a", "u:a", 0, "u:a", "tree"), ("u:b", "u:a", 1, "u:a > u:b", "tree"), ("u:c", "u:a", 2, "u:a > u:b > u:c", "tree"), ("u:d", "u:a", 2, "u:a > u:b > u:d", "tree"), ("u:e", "u:e", 0, "u:e", "tree"), ("u:f", "u:f", 0, "u:f", "tree")], key=repr)
-    assert rows(descendants(h)) == sorted([("u:a", "u:b", 1), ("u:a", "u:c", 2), ("u:a", "u:d", 2), ("u:b", "u:c", 1), ("u:b", "u:d", 1)], key=repr)
+    assert rows(descendants(resolved(nodes, concepts, Workspace(spark, "t")))) == sorted([("u:a", "u:b", 1), ("u:a", "u:c", 2), ("u:a", "u:d", 2), ("u:b", "u:c", 1), ("u:b", "u:d", 1)], key=repr)
 
 
 def test_empty_and_several_parents(spark):
@@ -61,4 +61,5 @@ def test_empty_and_several_parents(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "node string")
     edges = spark.createDataFrame([("c", "b"), ("c", "a"), ("c", "a"), ("c", None), ("c", "no")], "child string, parent string")
     got = resolve_forest(ids, edges, Workspace(spark, "t"))
-    assert sorted((x["node"], x["path"]) for x in got.collect()) == [("a", "a"), ("b", "b"), ("c", "a > c")]
+    assert sorted((x["node"], x["path"]) for x in got.collect()) == [("a", ["a"]), ("b", ["b"]), ("c", ["a", "c"])]
+    assert rows(other_parents(ids, edges)) == [("c", "b")]
