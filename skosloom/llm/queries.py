@@ -10,7 +10,7 @@ from skosloom.llm.canonical import collapse
 from skosloom.llm.encode import encoded, shared_model
 from skosloom.llm.mix import mix
 from skosloom.llm.setjoin import similar_rows
-from skosloom.llm.stuffing import stuffed
+from skosloom.llm.stuffing import stuffed_pages
 from skosloom.llm.survivor import fuse, survivors
 from skosloom.llm.topbands import top_parents
 from skosloom.plans import sql as S
@@ -56,7 +56,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", stuffed(F.col("text")).alias("share")).where(F.col("share") > 0.5).select("doc_id")
+    return stuffed_pages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_fused, p4_found, p4_counts, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}

@@ -1,31 +1,31 @@
 """Keyword-stuffed and link-list pages.
 
-A text is cut into segments (lines, and sentences within lines).  Prose shows a
-steady share of function words; keyword, link and tag lists show none, or only
-those of a phrase that returns at regular distances.  For every segment the
-share of function words is taken; for a window of terms around it two measures
-of repetition, segments longer than a window being judged in parts, each by its
-own terms and weighing its characters: the *autocorrelation*, the largest share of positions that hold
-the same term as the position ``lag`` before, over the lags up to ``MAX_LAG``;
-and the *regularity of recurrence gaps*, the share of positions whose term
-returned after the same gap as the time before.  A segment is stuffing if
-
-* it has hardly any function words (a list of nouns, tags), or is mostly links;
-* it has few of them and no end of a sentence, or its window repeats with a
-  short period;
-* it has no end of a sentence and its window repeats regularly (menus);
-* its window repeats with a short period almost throughout, unless it reads as
-  prose;
-* it repeats within itself: its terms return at some lag up to ``MAX_LAG``
-  almost throughout, or most of its content terms are back within that distance
-  (a keyword phrase with function words around it).
-
-Whole sentences that return as refrains do not repeat within themselves and stay
-prose.  A
-page is flagged if stuffing makes up more than half of its characters.
-
-Defined results: null, empty and blank texts are not flagged; texts of any
-length are analysed whole, window by window; every copy is judged alike.
+A text is cut into segments (lines, and sentences within lines) and terms.  Two
+measures of repetition judge a segment, taken over a window of ``WINDOW`` terms
+around it (longer segments in parts, each by its own terms): the
+*autocorrelation*, the largest share of positions with the same term as the
+position ``lag`` before, over the lags up to ``MAX_LAG``; and the *regularity
+of recurrence gaps*, the share of positions whose term returned after the same
+gap as the time before.  A segment is stuffing if
+
+* it is mostly links or tags;
+* it repeats within itself: its terms return at some lag almost throughout, or
+  most of its content terms are back within ``MAX_LAG`` terms, or many of its
+  terms are and its frame returns at one lag around it;
+* it has hardly a function word, and the form of a list (short items between
+  separators, many short lines without the end of a sentence, long runs without
+  any punctuation) or terms around it of which most return soon;
+* it has few function words, and no end of a sentence or a short period;
+* it is a short line without an end in a window that repeats regularly (menus).
+
+Function words are found in the corpus, not listed: the words that a large part
+of the documents of a language have in their sentences.  A language that the
+corpus does not know has none; its prose has ends of sentences and no form of a
+list, and passes.  Scripts without blanks are read letter by letter.
+
+A page is flagged if stuffing makes up more than half of the characters of its
+terms.  Defined results: null, empty and blank texts are not flagged; texts of
+any length are analysed whole; every copy is judged alike.
 """
 
 from __future__ import annotations
@@ -33,143 +33,249 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Function words of French, English, German and Spanish, without accents.
-FUNCTION_WORDS = frozenset(
-    """
-    a ai alors as au aussi aux avait avant avec avez avons c car ce cela celle celui ces cet cette ceux chaque chez comme contre d dans de depuis des deux dont
-    du elle elles en encore entre est et etait ete etre eu eut fait fut il ils j je jusqu l la le les leur leurs lorsque lui m mais malgre me meme moins
-    n ne ni nos notre nous on ont ou par parce pas pendant peu plus pour puis qu quand que quel quelle qui quoi s sa sans se selon sera ses si soit son sont
-    sous sur t tous tout toute toutes tres tu un une vers vos votre vous y
-    about after all also an and any are as at be been before being but by can could did do does down during each every for from had has have he her his how i if
-    in into is it its may more most no nor not of off only or other our out over she so some such than that the their them then there these they this those
-    through to under until up us was we were what when where which while who whom whose why will with without would you your
-    aber alle als am an auch auf aus bei bis da damit dann das dass dem den der des dessen die dies diese diesem diesen dieser doch durch ein eine einem einen
-    einer eines er es fur hat hatte ich ihr ihre im in ist jede jedem jeden jeder kann kein keine man mit nach nicht noch nun nur ob oder ohne schon sehr sein
-    seine seit sich sie sind so sowie spater uber um und unser unsere unter vom von vor war waren warum was weil wenn werden wie wieder wird wo wurde wurden zu zuerst zum zur
-    al algo ante antes aquel aunque bajo cada como con contra cual cuando cuyo de del desde despues donde durante e el ella ellos en entre era eran es esa ese
-    esta estaba este esto fue ha habia han hasta hay la las le les lo los mas mientras muy nada ni no nos nuestra nuestro o os otra otro para pero
-    por porque que quien se segun ser si sin sino sobre solo son su sus también tenia toda todo tras u un una unas uno unos ya yo
-    """.split()
-)
 LIST_SHARE, PROSE_SHARE = 0.12, 0.26
 WINDOW, MAX_LAG, SHORT_LAG = 128, 24, 6
 REGULAR, SHORT_REGULAR, MENU, MENU_TERMS, DENSE = 0.25, 0.6, 0.08, 10, 0.5
+#: Terms that return soon: around a segment without function words, within any, and within one whose frame returns at one lag.
+RETURNED, CROWDED, FRAMED, FRAME = 0.4, 0.35, 0.3, 0.4
+#: A list has so many items of so many terms at most on average (more items where a sentence ends), or so many lines of so many terms; or it is a run of terms without punctuation.
+ITEMS, ENDED_ITEMS, ITEM_TERMS, LINES, LINE_TERMS, BARE_TERMS = 3, 6, 4.5, 5, 8, 25
+#: Part of a language's documents that have a function word; part of all documents that a language has; least documents of a word.
+WORD_SHARE, LANGUAGE_SHARE, WORD_DOCS = 0.3, 0.001, 5
+#: Characters analysed at once; texts are never divided.
+CHUNK = 1 << 22
+
+DOC, LINE, END, SEP, COLON, NONE, LINK, TAG, WORD = range(9)
+_MARKUP = re.compile(r"<[^<>\x00]*>")
+_ENDS = ".!?…؟।。！？"
+_SEPS = ",|•·/»>«()–—、，；：-"
+
+
+#: Scripts written without blanks, read letter by letter.
+_ALONE = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))) + "]"
+_HAS_ALONE = re.compile(_ALONE)
+
+
+@cache
+def _tokens(alone: bool) -> re.Pattern:
+    """Terms and marks within a run of text without blanks; whether it has letters that stand alone."""
+    marks = "".join(chr(n) for n in (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(n))[0] == "M")
+    word = rf"{_ALONE}|[#@]?(?:(?!{_ALONE})[\w{marks}])+" if alone else rf"[#@]?[\w{marks}]+"
+    # a word, or the address it begins
+    address = r"(?:-[\w-]+)?(?:\.[\w-]+)+/[^\"<>]*|://[^\"<>]+"
+    return re.compile(
+        rf"www\.[^\"<>]+|{word}(?:{address})?|\x00|\x01|\x02\d+"
+        r"""|[.!?…؟।]+["'»”’)\]]*\Z|[。！？]+|[:;]|[,|•·/»>«()、，；：]|\A[–—-]+\Z"""
+    )
+
+
+def _kind(token: str) -> int:
+    c = token[0]
+    if c in "\x00\x01\x02":
+        return (DOC, LINE, TAG)["\x00\x01\x02".index(c)]
+    if c in _ENDS:
+        return END
+    if c in ":;":
+        return COLON
+    if c in _SEPS:
+        return SEP
+    return LINK if "/" in token or token.startswith("www.") else WORD
+
+
+def _read(texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Token numbers of all texts in order, the tokens, and whether a number follows (after which a point ends no sentence).
+
+    Runs between blanks are few against their occurrences: each is cut into
+    tokens once.
+    """
+    whole = "\x00".join(t.replace("\x00", " ").replace("\x01", " ").replace("\x02", " ") if t else "" for t in texts).lower()
+    if "<" in whole:
+        whole = _MARKUP.sub(lambda m: f" \x02{len(m[0])} ", whole)
+    for c in "\r\u2028\u2029":
+        whole = whole.replace(c, "\n")
+    runs = whole.replace("\n", " \x01 ").replace("\x00", " \x00 ").split()
+    if not runs:
+        return np.zeros(0, dtype=np.int64), [], np.zeros(0, dtype=bool)
+    codes, unique = pd.factorize(np.array(runs, dtype=object))
+    plain, ids = _tokens(False).findall, {}
+    parts = [[ids.setdefault(t, len(ids)) for t in (plain(u) if u.isascii() or not _HAS_ALONE.search(u) else _tokens(True).findall(u))] for u in unique]
+    many = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    flat = np.fromiter((i for p in parts for i in p), dtype=np.int64, count=int(many.sum()))
+    begin = np.cumsum(many) - many
+    counts = many[codes]
+    run = np.repeat(np.arange(len(codes)), counts)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    digit = np.append(np.fromiter((u[0].isdigit() for u in unique), dtype=bool, count=len(unique))[codes], False)
+    return flat[begin[codes][run] + place], list(ids), digit[run + 1]
 
-_TAG = re.compile(r"<[^<>]*>")
-_LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*", re.I)
-_SPACED = re.compile(r"(?<!\w)(?:\w ){2,}\w(?!\w)")
-_WORD = re.compile(r"[#@]?[^\W_]+")
-_CUT = re.compile(r"(?<=[.!?…])[ \t]+(?=[^\W\d_])")
-_END = re.compile(r"[.!?…:;][\"'»”’)\]\s]*$")
-_LINE = re.compile(r"[\r\n  ]+")
 
+def _best_lag(hits: list[np.ndarray], first: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
+    """Largest share of positions of the ranges that repeat the term ``lag`` before, over the lags up to ``longest`` and half the range."""
+    n, best = end - first, np.zeros(len(first))
+    for lag in range(1, longest + 1):
+        fits = (n >= 8) & (lag <= n // 2)
+        count = hits[lag][end] - hits[lag][np.minimum(first + lag, end)]
+        best = np.maximum(best, np.where(fits, count / np.maximum(n - lag, 1), 0.0))
+    return best
 
-def _terms(segment: str) -> tuple[list[str], list[int]]:
-    """Terms of a segment and their characters: links are one term, tags are dropped, spaced-out letters are one word."""
-    gone: dict[str, list[int]] = {"@link": [], "@tag": []}
 
-    def replaced(name: str):
-        return lambda m: gone[name].append(len(m[0])) or f" {name} "
+def shares(texts: list[str | None], words: frozenset[str] = frozenset()) -> np.ndarray:
+    """Share of the characters of each text that are stuffing, for all texts at once; ``words`` are function words."""
+    codes, unique, number = _read(texts)
+    if not len(codes):
+        return np.zeros(len(texts))
+    of_token = lambda f, kind: np.fromiter(map(f, unique), dtype=kind, count=len(unique))
+    kinds, size = of_token(_kind, np.int8), of_token(len, np.int64)
+    is_word, hashed, letter = of_token(lambda t: t in words, bool), of_token(lambda t: t[0] in "#@", bool), of_token(lambda t: bool(_HAS_ALONE.match(t)), bool)
+    size[kinds == TAG] = [int(t[1:]) for t in unique if t[0] == "\x02"]
+    kind = kinds[codes]
+    kind[(kind == END) & number & of_token(lambda t: t[0] not in "。！？", bool)[codes]] = NONE
+    cut = (kind == DOC) | (kind == LINE) | (kind == END)
+    seg = np.cumsum(cut) - cut  # a mark belongs to the segment it closes
+    n_segs = int(seg[-1]) + 1
+    closes = np.append((kind[1:] == LINE) | (kind[1:] == DOC), True)
+    ended = np.zeros(n_segs, dtype=bool)
+    ended[seg[(kind == END) | ((kind == COLON) & closes)]] = True
+    marks = np.bincount(seg[(kind == SEP) | (kind == COLON)], minlength=n_segs)
 
-    s = _LINK.sub(replaced("@link"), segment)
-    s = _TAG.sub(replaced("@tag"), s)
-    s = _SPACED.sub(lambda m: m[0].replace(" ", ""), s)
-    terms = _WORD.findall(s.lower())
-    sizes = {k: iter(v) for k, v in gone.items()}
-    return terms, [next(sizes[t], len(t)) if t in sizes else len(t) for t in terms]
+    at = np.flatnonzero(kind >= LINK)
+    if not len(at):
+        return np.zeros(len(texts))
+    doc = (np.cumsum(kind == DOC))[at]
+    tkind, tseg, tsize = kind[at], seg[at], size[codes[at]]
+    term = np.where(tkind == LINK, len(unique), np.where(tkind == TAG, len(unique) + 1, codes[at]))
+    spelt = letter[codes[at]]
+    word, link = is_word[codes[at]], (tkind == LINK) | (tkind == TAG)
+    n = len(at)
+    marks += np.bincount(tseg[hashed[codes[at]]], minlength=n_segs)
 
+    # hits[lag][i]: positions before i that repeat the term lag before, within one text
+    hits = [np.zeros(n + 1, dtype=np.int32)]
+    for lag in range(1, MAX_LAG + 1):
+        same = np.zeros(n + 1, dtype=np.int32)
+        if lag < n:
+            same[lag + 1 :] = (term[lag:] == term[:-lag]) & (doc[lag:] == doc[:-lag])
+        hits.append(np.cumsum(same, dtype=np.int32))
+    order = np.lexsort((np.arange(n), term, doc))
+    again = (term[order][1:] == term[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    before = np.full(n, -1)
+    before[order[1:][again]] = order[:-1][again]
+    gap = np.where(before >= 0, np.arange(n) - before, 0)
+    close = np.concatenate([[0], np.cumsum((before >= 0) & (gap <= MAX_LAG))])
+    even = np.concatenate([[0], np.cumsum((before >= 0) & (gap == gap[before]) & (before[before] >= 0))])
 
-def repetition(codes: np.ndarray) -> tuple[float, float, float]:
-    """Autocorrelation over lags up to ``MAX_LAG``, over lags up to ``SHORT_LAG``, and regularity of recurrence gaps."""
+    # parts of segments: the units that are judged
+    starts = np.flatnonzero(np.append(True, tseg[1:] != tseg[:-1]))
+    seg_size = np.diff(np.append(starts, n))
+    within = np.arange(n) - np.repeat(starts, seg_size)
+    first = np.flatnonzero(within % WINDOW == 0)
+    end = np.append(first[1:], n)
+    part = np.repeat(np.arange(len(first)), end - first)
+    total = end - first
+    pseg, pdoc, of = tseg[first], doc[first], np.repeat(seg_size, seg_size)[first]
+    seg_start = first - within[first]
+    doc_start = np.searchsorted(doc, pdoc, "left")
+    doc_end = np.searchsorted(doc, pdoc, "right")
+    around = np.maximum(doc_start, np.minimum(seg_start - (WINDOW - of) // 2, doc_end - WINDOW))
+    wfirst = np.where(of >= WINDOW, seg_start + np.minimum(within[first], of - WINDOW), around)
+    wend = np.minimum(doc_end, wfirst + WINDOW)
+
+    count = lambda x: np.bincount(part, weights=x, minlength=len(first))
+    share, links = count(word) / total, count(link) / total
+    # words of set phrases may pass for function words: content is half of the terms at least
+    content = np.maximum(count(~word), total / 2)
+    inside = (before >= 0) & (gap <= MAX_LAG) & (before >= first[part])
+    dense = count(inside & ~word) / content
+    wide, short = _best_lag(hits, wfirst, wend, MAX_LAG), _best_lag(hits, wfirst, wend, SHORT_LAG)
+    regular = np.where(wend - wfirst >= 8, (even[wend] - even[wfirst]) / np.maximum(wend - wfirst, 1), 0.0)
+    returned = np.where(wend - wfirst >= 8, (close[wend] - close[wfirst]) / np.maximum(wend - wfirst, 1), 0.0)
+    own = _best_lag(hits, first, end, MAX_LAG)
+
+    open_ = ~ended[pseg]
+    items = marks[pseg] + 1
+    spaced = count(spelt) < total / 2  # letters return soon in any text
+    lines = np.bincount(doc[starts], weights=~ended[tseg[starts]], minlength=len(texts))[pdoc]
+    listed = (items >= np.where(open_, ITEMS, ENDED_ITEMS)) & (of / items <= ITEM_TERMS)
+    listed |= open_ & (((of <= LINE_TERMS) & (lines >= LINES)) | ((items == 1) & (of >= BARE_TERMS) & spaced))
+    bad = links >= 0.5
+    bad |= (total >= 8) & ((own >= SHORT_REGULAR) | (spaced & ((dense >= DENSE) | ((total >= 12) & (count(inside & ~word) / total >= CROWDED)))))
+    bad |= (share < LIST_SHARE) & (listed | (spaced & (returned >= RETURNED)))
+    bad |= (share < PROSE_SHARE) & ((short >= REGULAR) | (open_ & listed & (of / items <= ITEM_TERMS / 1.5)))
+    bad |= (total >= 8) & spaced & (count(inside & ~word) / total >= FRAMED) & (wide >= FRAME)
+    bad |= (total <= MENU_TERMS) & (share < 2 * PROSE_SHARE) & open_ & (wend - wfirst >= 3 * MENU_TERMS) & ((wide >= MENU) | (regular >= MENU))
+    bad |= (short >= SHORT_REGULAR) & (share < 2 * PROSE_SHARE)
+
+    chars = count(tsize)
+    sums = np.bincount(pdoc, weights=chars, minlength=len(texts))
+    return np.bincount(pdoc, weights=chars * bad, minlength=len(texts)) / np.maximum(sums, 1)
+
+
+def stuffed_share(text: str | None, words: frozenset[str] = frozenset()) -> float:
+    """Share of stuffing of one text."""
+    return float(shares([text], words)[0])
+
+
+def repetition(codes: np.ndarray) -> tuple[float, float]:
+    """Autocorrelation of a sequence over lags up to ``MAX_LAG`` and up to ``SHORT_LAG``."""
     n = len(codes)
-    if n < 8:
-        return 0.0, 0.0, 0.0
-    lags = [int(np.count_nonzero(codes[k:] == codes[:-k])) / (n - k) for k in range(1, min(MAX_LAG, n // 2) + 1)]
-    order = np.argsort(codes, kind="stable")
-    same = codes[order][1:] == codes[order][:-1]
-    gaps = np.diff(order)
-    again = same[1:] & same[:-1] & (gaps[1:] == gaps[:-1])
-    return max(lags), max(lags[:SHORT_LAG]), float(again.sum()) / n
-
-
-def density(terms: list[str]) -> float:
-    """Share of the content terms that are back within ``MAX_LAG`` terms."""
-    last: dict[str, int] = {}
-    near = content = 0
-    for i, t in enumerate(terms):
-        if t not in FUNCTION_WORDS:
-            content += 1
-            near += i - last.get(t, -MAX_LAG - 1) <= MAX_LAG
-            last[t] = i
-    return near / content if content else 0.0
-
-
-def _repeats_within(terms: list[str], codes: np.ndarray) -> bool:
-    n = len(terms)
-    if n < 8:
-        return False
-    # a share of SHORT_REGULAR at a lag up to n / 2 leaves at most this many distinct terms
-    few = len(set(terms)) <= n - SHORT_REGULAR * (n - n // 2)
-    return density(terms) >= DENSE or (few and repetition(codes)[0] >= SHORT_REGULAR)
-
-
-def _is_stuffing(segment: str, terms: list[str], share: float, wide: float, short: float, gaps: float) -> bool:
-    if share < LIST_SHARE or sum(t in ("@link", "@tag") for t in terms) * 2 >= len(terms):
-        return True
-    if share < PROSE_SHARE and (short >= REGULAR or not _END.search(segment)):
-        return True
-    if len(terms) <= MENU_TERMS and share < 2 * PROSE_SHARE and not _END.search(segment) and (wide >= MENU or gaps >= MENU):
-        return True
-    return short >= SHORT_REGULAR and share < 2 * PROSE_SHARE
-
-
-def stuffed_share(text: str | None) -> float:
-    """Share of the characters of ``text`` that are stuffing."""
-    if not text or not text.strip():
-        return 0.0
-    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    segments = [s for line in _LINE.split(plain) for s in _CUT.split(line) if s.strip()]
-    read = [_terms(s) for s in segments]
-    ids: dict[str, int] = {}
-    codes = np.fromiter((ids.setdefault(t, len(ids)) for own, _ in read for t in own), dtype=np.int64)
-    measures: dict[tuple[int, int], tuple[float, float, float]] = {}
-    bad, total, at = 0.0, 0, 0
-    for s, (terms, sizes) in zip(segments, read, strict=True):
-        size, chars = len(s.strip()), sum(sizes)
-        total += size
-        for i in range(0, max(len(terms), 1), WINDOW):
-            own = terms[i : i + WINDOW]
-            window = _window(at, len(terms), i, len(codes))
-            if window not in measures:
-                measures[window] = repetition(codes[slice(*window)])
-            share = sum(t in FUNCTION_WORDS for t in own) / len(own) if own else 0.0
-            if _is_stuffing(s, own, share, *measures[window]) or _repeats_within(own, codes[at + i : at + i + len(own)]):
-                bad += size * sum(sizes[i : i + WINDOW]) / chars if chars else size
-        at += len(terms)
-    return min(1.0, bad / total) if total else 0.0
-
-
-def _window(at: int, size: int, part: int, n: int) -> tuple[int, int]:
-    """Range of up to ``WINDOW`` terms that judges a part of the segment of ``size`` terms at ``at``: within the segment, or around it if it is shorter."""
-    if size >= WINDOW:
-        first = at + min(part, size - WINDOW)
-    else:
-        first = max(0, min(at - (WINDOW - size) // 2, n - WINDOW))
-    return first, min(n, first + WINDOW)
-
-
-def stuffed(text: Column) -> Column:
+    hits = [np.zeros(n + 1, dtype=np.int32)]
+    for lag in range(1, MAX_LAG + 1):
+        same = np.zeros(n + 1, dtype=np.int32)
+        if lag < n:
+            same[lag + 1 :] = codes[lag:] == codes[:-lag]
+        hits.append(np.cumsum(same))
+    ends = np.array([0]), np.array([n])
+    return float(_best_lag(hits, *ends, MAX_LAG)[0]), float(_best_lag(hits, *ends, SHORT_LAG)[0])
+
+
+def function_words(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``word``: words that many documents of one language have in their sentences, counted over all documents.
+
+    A language is what ``lang`` says (trimmed, in lower case; null is one, too)
+    if it has ``LANGUAGE_SHARE`` of the documents.  As a word must be in
+    ``WORD_SHARE`` of a language's documents, there are at most
+    1 / ``LANGUAGE_SHARE`` times 1 / ``WORD_SHARE`` times the words of an
+    average document, whatever the size of the corpus.
+    """
+    group = F.lower(F.trim(F.coalesce(F.col(lang), F.lit(""))))
+    # runs without the end of a sentence are left out: lists have no say
+    prose = F.regexp_replace(F.lower(F.col(text)), r"(?<![^.!?…。！？\r\n])[^.!?…。！？\r\n]++(?=[\r\n]|\z)", "")
+    own = documents.where(F.col(text).isNotNull()).select(group.alias("g"), F.array_distinct(F.regexp_extract_all(prose, F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)).alias("w"))
+    sizes = own.where(F.size("w") > 0).groupBy("g").agg(F.count(F.lit(1)).alias("docs"))
+    total = sizes.agg(F.sum("docs").alias("all"))
+    large = sizes.join(F.broadcast(total), how="inner").where(F.col("docs") >= F.col("all") * LANGUAGE_SHARE)
+    counts = own.select("g", F.explode("w").alias("word")).groupBy("g", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_DOCS)
+    return counts.join(F.broadcast(large), "g").where(F.col("n") >= F.col("docs") * WORD_SHARE).select("word").distinct()
+
+
+def stuffed(text: Column, words: frozenset[str]) -> Column:
     """Share of stuffing of ``text``, as a vectorised function."""
 
     @F.pandas_udf("double")
     def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([stuffed_share(t) for t in s], index=s.index, dtype="float64")
+            texts, out, held, size = s.tolist(), [], [], 0
+            for t in texts:
+                held.append(t)
+                size += len(t or "")
+                if size >= CHUNK:
+                    out.append(shares(held, words))
+                    held, size = [], 0
+            if held:
+                out.append(shares(held, words))
+            yield pd.Series(np.concatenate(out) if out else [], index=s.index, dtype="float64")
 
     return share(text)
+
+
+def stuffed_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
+    """``doc_id`` of the documents of which more than ``least`` is stuffing, by the function words of the corpus itself."""
+    words = frozenset(r["word"] for r in function_words(documents, text, lang).collect())
+    return documents.select(doc_id, stuffed(F.col(text), words).alias("share")).where(F.col("share") > least).select(doc_id)
