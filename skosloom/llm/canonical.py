@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skosloom.functions.labels import composed, is_null_token
+from skosloom.functions.labels import char_class, composed, is_null_token
 from skosloom.plans.skew import lookup
 from skosloom.plans.workspace import Workspace
 
@@ -26,12 +26,12 @@ _MISSING = "\x00"
 
 def canonical_flat(c: Column) -> Column:
     """Canonical text without regard to white space and punctuation; null tokens give one marker."""
-    return F.when(is_null_token(c), _MISSING).otherwise(composed(F.lower(F.regexp_replace(composed(c), r"[^\p{L}\p{M}\p{N}]+", ""))))
+    return F.when(is_null_token(c), _MISSING).otherwise(composed(F.lower(F.regexp_replace(composed(c), f"[^{char_class('LMN')}]+", ""))))
 
 
 def canonical_bag(c: Column) -> Column:
     """Canonical text without regard to the order of words either."""
-    runs = F.regexp_extract_all(F.lower(composed(c)), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
+    runs = F.regexp_extract_all(F.lower(composed(c)), F.lit(f"([{char_class('LMN')}]+)"), 1)
     return F.when(is_null_token(c), _MISSING).otherwise(composed(F.array_join(F.array_sort(runs), "·")))
 
 
@@ -56,6 +56,6 @@ def collapse(df: DataFrame, id_col: str, flat: list[str], bag: list[str], ws: Wo
     groups = distinct.groupBy("canon").agg(F.min("first").alias("row_id"), F.sum("n").alias("copies"))
     several = distinct.join(groups.where(F.col("copies") > 1), "canon").select("raw", "row_id")
     rows = df.select(F.col(id_col).alias("row_id_b"), _raw(flat + bag).alias("raw"))
-    found = lookup(rows, several.withColumnRenamed("row_id", "row_id_a"), "raw", ["row_id_a"], hot=distinct.where((F.col("n") > 1) & (F.length("raw") <= 4096)).orderBy(F.desc("n"), "first").limit(1024).select("raw"))
+    found = lookup(rows, several.withColumnRenamed("row_id", "row_id_a"), "raw", ["row_id_a"], hot=distinct.where(F.col("n") > 1).orderBy(F.desc("n"), "first").limit(1024).select("raw"))
     members = found.where(F.col("row_id_a") < F.col("row_id_b")).select("row_id_a", "row_id_b")
     return groups.select("row_id", "copies"), members

@@ -102,7 +102,7 @@ def similar_rows(df: DataFrame, id_col: str, words: Column, t: float = 0.6, ws:
     rows = ws.cut(rows)
     sets = ws.cut(rows.groupBy("key").agg(F.min("row_id").alias("sid"), F.count(F.lit(1)).alias("n")))
     alike = similar_sets(sets, t, ws)
-    hot = sets.where((F.col("n") > 1) & (F.length("key") <= 4096)).orderBy(F.desc("n"), "sid").limit(1024).select("key")
+    hot = sets.where(F.col("n") > 1).orderBy(F.desc("n"), "sid").limit(1024).select("key")
     members = ws.cut(lookup(rows, sets, "key", ["sid", "n"], hot=hot).select("row_id", "sid", "n"))
     a = members.select(F.col("sid").alias("sa"), F.col("row_id").alias("a"))
     b = members.select(F.col("sid").alias("sb"), F.col("row_id").alias("b"))

@@ -1,11 +1,11 @@
 """Top N items within every group, by descending bands of the score.
 
 The items are written once, partitioned by bands of the score whose bounds are
-quantiles of it.  Bands are read from the top; groups already filled are taken
-out by an anti-join before a band is ranked, so most of the lower bands is
-dropped before any sort.  Only the rows of one band are ranked exactly, with a
-total order (score descending, then id ascending); Spark limits each group to
-N rows before the shuffle of that ranking, so no task gets a whole hot group.
+quantiles of it.  Bands are read from the top.  In each, Spark keeps the first
+N rows of a group and task in a total order (score descending, then id
+ascending) before the rows are shuffled by group, so no task gets a whole hot
+group, in the lower bands neither; groups filled by higher bands are then taken
+out by an anti-join, and those that a band fills in part take its best rows.
 
 Defined results: equal scores share a band, so ties are broken by id alone;
 null and NaN scores take no place; a null group is no group; a repeated row
@@ -40,12 +40,11 @@ def top_n(items: DataFrame, group: str, score: str, tie: str, n: int, ws: Worksp
     order = Window.partitionBy(group).orderBy(F.desc(score), F.asc(tie))
     kept: list[DataFrame] = []
     for i in range(len(bounds) + 1):
-        rows = banded.where(F.col("band") == i).drop("band")
+        # the limit is its own step below the join: a join between would keep Spark from limiting before the shuffle
+        first = banded.where(F.col("band") == i).select(group, score, tie).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
         if kept:
             taken = reduce(DataFrame.unionByName, kept).groupBy(group).agg(F.count(F.lit(1)).alias("taken"))
-            rows = rows.join(taken.where(F.col("taken") >= n), group, "left_anti")
-        first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-        if kept:
+            first = first.join(taken.where(F.col("taken") >= n).select(group), group, "left_anti")
             first = first.join(taken, group, "left").withColumn("place", (F.col("place") + F.coalesce("taken", F.lit(0))).cast("int")).drop("taken").where(F.col("place") <= n)
         kept.append(ws.cut(first.select(group, "place", tie, score)))
     return reduce(DataFrame.unionByName, kept)
@@ -63,6 +62,6 @@ def top_parents(relations: DataFrame, nodes: DataFrame, n: int = 3, ws: Workspac
     # -0.0 and 0.0 are one confidence
     best = F.min(F.struct((0.0 - F.col("confidence")).alias("k"), F.col("seq"))).alias("best")
     grouped = ws.cut(with_end_keys(usable).groupBy(*ENDS).agg(best))
-    links = resolve_ends(grouped, nodes).groupBy("c", "p").agg(F.min("best").alias("best"))
+    links = resolve_ends(grouped, nodes, ws).groupBy("c", "p").agg(F.min("best").alias("best"))
     items = links.select(F.col("c").alias("child_uri"), (0.0 - F.col("best.k")).alias("confidence"), F.col("best.seq").alias("seq"))
     return top_n(items, "child_uri", "confidence", "seq", n, ws).select("child_uri", "place", "seq")

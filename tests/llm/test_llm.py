@@ -13,7 +13,8 @@ from skosloom.llm.canonical import collapse
 from skosloom.llm.encode import Codec, decoded, encoded, serialise, shared_model
 from skosloom.llm.mix import mix
 from skosloom.llm.setjoin import similar_rows
-from skosloom.llm.stuffing import repetition, stuffed, stuffed_share
+from skosloom.llm.stuffing import function_words, repetition, shares, stuffed, stuffed_pages
+from skosloom.llm.stuffing import stuffed_share as any_share
 from skosloom.llm.survivor import estimate, fuse, survivors
 from skosloom.llm.topbands import top_n, top_parents
 from skosloom.plans.workspace import Workspace
@@ -124,6 +125,26 @@ def test_top_n(spark):
     assert top_n(df.limit(0), "g", "s", "i", 3, Workspace(spark, "t")).collect() == []
 
 
+def test_lower_bands_limit_hot_groups_before_the_shuffle(spark, monkeypatch):
+    plans = []
+    cut = Workspace.cut
+    monkeypatch.setattr(Workspace, "cut", lambda self, df, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(self, df, **k))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        # one group has all rows but one
+        df = spark.range(50_000, numPartitions=4).select(F.when(F.col("id") == 7, "b").otherwise("a").alias("g"), (F.col("id") % 1000 / 1000).alias("s"), F.col("id").alias("i"))
+        got = rows(top_n(df, "g", "s", "i", 3, Workspace(spark, "t")).select("g", "place", "i"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("a", 1, 999), ("a", 2, 1999), ("a", 3, 2999), ("b", 1, 7)]
+    lower = [p for p in plans if "LeftAnti" in p]
+    assert len(lower) == 3
+    for p in lower:  # a plan is printed from the top: the limit of the scan's side stands below its exchange
+        scan = p[p.index("LeftAnti") :]
+        assert "Partial" in scan[: scan.index("Scan parquet")].split("WindowGroupLimit")[-1]
+        assert scan.index("Exchange hashpartitioning(g") < scan.index(", Partial")
+
+
 def test_top_parents_ties(spark):
     nodes = spark.createDataFrame([("u:a", "Alpha")], NODES)
     rel = relations(spark, [(i, "Alpha" if i % 2 else "ALPHA (x)", None, f"p{i % 5}", None, [0.5, 0.5, 0.9, None, 7.0][i % 5], "s", 1) for i in range(20)])
@@ -240,6 +261,14 @@ def test_mix_prefers_large_documents(spark):
 
 # --- stuffing
 
+#: Words that the test texts share as function words, as a corpus would give them.
+WORDS = frozenset("le la de une un pour les en et qui dans ce que personne ne das den der die an eine ohne par n a du".split())
+
+
+def stuffed_share(text):
+    return any_share(text, WORDS)
+
+
 PROSE = "Le maître de chapelle copia la messe en une nuit pour la fête patronale, ce que personne ne contesta. "
 SPAM = {
     "repeated": "violon pas cher, violon, violon promo, " * 20,
@@ -265,7 +294,7 @@ def test_prose_and_edges(spark):
     for t in (PROSE, PROSE * 200, refrain, german, "", " \n\t", None):
         assert stuffed_share(t) <= 0.5
     df = spark.createDataFrame([(1, None), (2, ""), (3, SPAM["tags"]), (4, SPAM["tags"])], "doc_id int, text string")
-    got = {r["doc_id"]: r["s"] for r in df.select("doc_id", stuffed(F.col("text")).alias("s")).collect()}
+    got = {r["doc_id"]: r["s"] for r in df.select("doc_id", stuffed(F.col("text"), WORDS).alias("s")).collect()}
     assert got[1] == got[2] == 0.0 and got[3] == got[4] > 0.5
 
 
@@ -296,8 +325,59 @@ def test_short_segments_are_judged_by_what_is_around_them():
     # the first lines of the menu end a window of prose
     prose = " ".join(f"mot{i}" if i % 2 else "le" for i in range(120)) + "."
     menu = ["> Voir tous les luth en ligne"] * 3
-    size = sum(map(len, menu))
-    assert stuffed_share("\n".join([prose, *menu])) == pytest.approx(size / (size + len(prose)))
+    letters = lambda t: sum(c.isalnum() for c in t)
+    size = letters("".join(menu))
+    assert stuffed_share("\n".join([prose, *menu])) == pytest.approx(size / (size + letters(prose)))
+
+
+PROSE_IN = {
+    "pl": "W roku 1652 kapela zapłaciła pięciu śpiewakom i jednemu organiście. Mistrz chóru poprosił o krótszą definicję, ale nikt jej nie napisał.",
+    "fi": "Luostarin kirjasto osti vanhan urun ja korjautti sen ennen talvea. Kukaan ei kuitenkaan kertonut, kuka sen oli rakentanut.",
+    "ru": "В архиве сохранилась только одна тетрадь с нотами. Переписчик не указал ни имени композитора, ни даты первого исполнения.",
+    "zh": "教堂在一六五二年付給五位歌手和一位管風琴師報酬。沒有人知道這首曲子是誰寫的，但是抄本仍然保存得很好。",
+    "ja": "この曲は古い写本に残っているが、作者の名前は書かれていない。私たちは図書館でその楽譜を見つけた。",
+    "hi": "पुस्तकालय में एक पुरानी पांडुलिपि मिली है। किसी को नहीं पता कि इसे किसने लिखा था।",
+    "ar": "وجد الباحث مخطوطة قديمة في مكتبة الدير. لم يكتب الناسخ اسم المؤلف ولا تاريخ النسخ.",
+    "el": "Στο αρχείο σώζεται μόνο ένα τετράδιο με νότες. Ο αντιγραφέας δεν έγραψε το όνομα του συνθέτη.",
+    "tr": "Manastırın kütüphanesi eski orgu kıştan önce tamir ettirdi. Kimse bu parçayı kimin yazdığını bilmiyor.",
+    "hu": "A kolostor könyvtára megvette a régi orgonát, és tél előtt megjavíttatta. Senki sem tudja, ki írta ezt a darabot.",
+    "cs": "Knihovna kláštera koupila staré varhany a před zimou je dala opravit. Nikdo neví, kdo tu skladbu napsal.",
+    "ko": "수도원 도서관에서 오래된 악보가 발견되었다. 누가 이 곡을 썼는지 아무도 모른다.",
+    "th": "ห้องสมุดของวัดมีต้นฉบับเก่าเล่มหนึ่ง ไม่มีใครรู้ว่าใครเป็นคนเขียนเพลงนี้",
+    "vi": "Thư viện của tu viện đã mua cây đàn cổ và sửa lại trước mùa đông. Không ai biết ai đã viết bản nhạc này.",
+    "he": "בספריית המנזר נמצא כתב יד ישן. איש אינו יודע מי כתב את היצירה הזאת.",
+    "sv": "Klostrets bibliotek köpte den gamla orgeln och lät laga den före vintern. Ingen vet vem som skrev stycket.",
+    "id": "Perpustakaan biara membeli organ tua itu dan memperbaikinya sebelum musim dingin. Tidak ada yang tahu siapa penulisnya.",
+    "ta": "நூலகத்தில் ஒரு பழைய கையெழுத்துப் பிரதி கிடைத்தது. அதை எழுதியவர் யார் என்று யாருக்கும் தெரியாது.",
+}
+
+
+@pytest.mark.parametrize("lang", PROSE_IN)
+def test_prose_of_languages_that_the_corpus_does_not_know(lang):
+    t = PROSE_IN[lang]
+    assert any_share(t) < 0.5 and stuffed_share(t) < 0.5 and stuffed_share(t.replace(". ", ".\n")) < 0.5
+    assert stuffed_share(t.rstrip(".।。")) < 0.5
+
+
+def test_keywords_of_languages_that_the_corpus_does_not_know():
+    assert any_share("tanie skrzypce, skrzypce sklep, skrzypce promocja, skrzypce używane, " * 12) > 0.5
+    assert any_share("便宜 小提琴 小提琴 商店 小提琴 特价 " * 20) > 0.5
+    assert any_share("\n".join(f"дешевые {w} цена" for w in ("скрипка", "лютня", "орган", "арфа", "флейта") * 6)) > 0.5
+
+
+def test_one_by_one_as_together():
+    texts = [PROSE, None, SPAM["tags"], "", PROSE + "\n" + SPAM["menu"], *PROSE_IN.values(), SPAM["html"], "\x00 a\x00b"]
+    assert list(shares(texts, WORDS)) == pytest.approx([any_share(t, WORDS) for t in texts])
+
+
+def test_function_words_of_the_corpus(spark):
+    french = ["Le luth est dans la salle. On le garde pour la fête.", "La messe est pour le soir.\nluth promo luth achat", "Le chantre est dans la salle.", "La viole est pour le maître.", "Le motet est dans la marge."]
+    rows_ = [(i, t, " FR" if i % 2 else "fr", "x") for i, t in enumerate(french * 3)] + [(90 + i, "luth promo achat luth viole " * 4, "fr", "y") for i in range(9)] + [(200, None, None, "z"), (201, "", "fr", "z")]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string, lang string, share string")
+    words = {r["word"] for r in function_words(df).collect()}
+    assert {"le", "la", "est", "pour", "dans"} <= words and not words & {"promo", "achat", "viole"}
+    assert {r[0] for r in stuffed_pages(df).collect()} == set(range(90, 99))
+    assert stuffed_pages(df.limit(0)).collect() == []
 
 
 def test_repetition():
