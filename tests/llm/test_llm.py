@@ -66,20 +66,26 @@ def test_survivors(spark):
     got = rows(survivors(rel, nodes, det))
     # group a-b: order by trust, date, seq is 2, 3, 1, 4
     assert got == sorted([(1, 3, 2, 1, 2), (5, 5, 5, 5, -1), (8, -1, -1, -1, -1)], key=repr)
-    fused = {r["first_seq"]: r for r in fuse(rel, nodes, det).collect()}
+    fused = {r["group_seq"]: r for r in fuse(rel, nodes, det).collect()}
     assert fused[1]["parent"] in {"Beta", "beta (q)"} and 0 <= fused[1]["parent_posterior"] <= 1
-    assert 8 not in fused
+    assert 7 not in fused and 8 not in fused and fused[5]["confidence"] == "0.1" and fused[5]["source"] is None
     empty = spark.createDataFrame([], REL)
     assert survivors(empty, nodes, det).collect() == [] and fuse(empty, nodes, det).collect() == []
 
 
+def weights(found):
+    from skosloom.llm.survivor import _independent
+
+    return _independent(*found[0], 0.8)
+
+
 def test_estimate_finds_copies(spark):
     # sources 0 and 1 are independent and right; 2 and 3 share the same false values
-    pats = [([0b0011, 0b1100], 300), ([0b0001, 0b1100], 50), ([0b0011], 200), ([0b0111, 0b1000], 20)]
-    df = spark.createDataFrame([("f", s, n) for s, n in pats], "field string, sets array<bigint>, n bigint")
-    w = estimate(df, 4)
-    assert w[0b0011] > w[0b1100]
-    assert estimate(spark.createDataFrame([], "field string, sets array<bigint>, n bigint"), 2) == {}
+    pats = [([[0, 1], [2, 3]], 300), ([[0], [2, 3]], 50), ([[0, 1]], 200), ([[0, 1, 2], [3]], 20)]
+    found = estimate(spark.createDataFrame(pats, "sets array<array<int>>, n bigint"), 4)
+    w = weights(found)
+    assert w((0, 1)) > w((2, 3)) and found[0][1][3, 2] > 0.9
+    assert estimate(spark.createDataFrame([], "sets array<array<int>>, n bigint"), 2)[0][1] == {}
 
 
 def test_fusion_counts_every_rival_value(spark, monkeypatch):
@@ -95,17 +101,55 @@ def test_fusion_counts_every_rival_value(spark, monkeypatch):
     got = fuse(rel, nodes, det).collect()
     pats, sources = seen[0]
     assert sources == 5
-    assert ([1, 2, 4, 8], [15, 1, 1, 1], 20) in [tuple(p) for p in pats]
+    assert ([[0], [1], [2], [3]], [15, 1, 1, 1], 20) in [tuple(p[1:]) for p in pats]
     assert len(got) == 20 and all(float(r["confidence"]) >= 0.5 for r in got)
 
 
 def test_estimate_with_multiplicities(spark):
-    schema = "sets array<bigint>, ks array<bigint>, n bigint"
-    w = estimate(spark.createDataFrame([([1, 2], [15, 1], 100), ([3], [1], 30)], schema), 2)
-    same = estimate(spark.createDataFrame([([1] * 15 + [2], 100), ([3], 30)], "sets array<bigint>, n bigint"), 2)
-    assert w == pytest.approx(same)
-    capped = estimate(spark.createDataFrame([([1, 2], [2, 1], 100), ([3], [1], 30)], schema), 2)
-    assert w[1] < capped[1] and w[1] < w[2]
+    schema = "sets array<array<int>>, ks array<bigint>, n bigint"
+    w = weights(estimate(spark.createDataFrame([([[0], [1]], [15, 1], 100), ([[0, 1]], [1], 30)], schema), 2))
+    same = weights(estimate(spark.createDataFrame([([[0]] * 15 + [[1]], 100), ([[0, 1]], 30)], "sets array<array<int>>, n bigint"), 2))
+    capped = weights(estimate(spark.createDataFrame([([[0], [1]], [2, 1], 100), ([[0, 1]], [1], 30)], schema), 2))
+    assert w((0,)) == pytest.approx(same((0,))) and w((0,)) < capped((0,)) and w((0,)) < w((1,))
+
+
+def test_many_agreeing_sources_do_not_tie(spark):
+    """Every named source votes for itself, and weights of any size are told apart."""
+    nodes = spark.createDataFrame([("u:b", "Beta")], NODES)
+    det = spark.createDataFrame([("s0", 1)], "source string, trust int")
+    data = [(g, 0.5 if i < 45 else 0.7, f"s{i}") for g in range(4) for i in range(75)]
+    rel = relations(spark, [(i, "Alpha", f"u:{g}", "Beta", "u:b", x, s, 1) for i, (g, x, s) in enumerate(data)])
+    got = fuse(rel, nodes, det).collect()
+    assert [(r["confidence"], r["confidence_posterior"]) for r in got] == [("0.5", 1.0)] * 4
+
+
+def planted(links=400, seed=5):
+    """Confidences with known true values: four honest sources, a bad one and three that copy it."""
+    r = random.Random(seed)
+    truth, out = {}, []
+    for g in range(links):
+        truth[g] = r.randrange(100)
+        say = lambda right: truth[g] if r.random() < right else r.randrange(100)
+        bad = say(0.35)
+        votes = {f"h{i}": say(0.8) for i in range(4) if r.random() < 0.8} | {"bad": bad} | {f"copy{i}": bad if r.random() < 0.95 else say(0.35) for i in range(3)}
+        out += [(g, v / 100, s) for s, v in votes.items()]
+    return truth, out
+
+
+def test_fusion_beats_the_majority_where_sources_copy(spark):
+    truth, data = planted()
+    nodes = spark.createDataFrame([("u:b", "Beta")], NODES)
+    det = spark.createDataFrame([("h0", 1)], "source string, trust int")
+    rel = relations(spark, [(i, "Alpha", f"u:{g:05d}", "Beta", "u:b", x, s, 1) for i, (g, x, s) in enumerate(data)])
+    first = {}
+    by = collections.defaultdict(list)
+    for i, (g, x, _) in enumerate(data):
+        first.setdefault(g, i)
+        by[first[g]].append(x)
+    got = {r["group_seq"]: float(r["confidence"]) for r in fuse(rel, nodes, det).collect()}
+    right = lambda pick: sum(pick(i) == truth[g] / 100 for g, i in first.items()) / len(first)
+    fused, majority = right(got.__getitem__), right(lambda i: collections.Counter(by[i]).most_common(1)[0][0])
+    assert fused > 0.9 and majority < 0.75, (fused, majority)
 
 
 # --- top n
