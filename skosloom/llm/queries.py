@@ -9,7 +9,7 @@ from skosloom.functions.labels import is_null_token, words
 from skosloom.llm.canonical import collapse
 from skosloom.llm.encode import encoded, shared_model
 from skosloom.llm.mix import mix
-from skosloom.llm.setjoin import similar_rows
+from skosloom.llm.setjoin import similar_classes, similar_rows
 from skosloom.llm.stuffing import stuffed_pages
 from skosloom.llm.survivor import fuse, survivors
 from skosloom.llm.topbands import top_parents
@@ -39,6 +39,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_rows(table(spark, sf_dir, "concepts").where(~is_null_token(label)), "row_id", words(label), 0.6)
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of equal sets, each named by its lowest row."""
+    label = F.col("`skos:prefLabel`")
+    return similar_classes(table(spark, sf_dir, "concepts").where(~is_null_token(label)), "row_id", words(label), 0.6)[0]
+
+
+def p6_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by random trees repeated to a target recall of 0.95."""
+    label = F.col("`skos:prefLabel`")
+    return similar_classes(table(spark, sf_dir, "concepts").where(~is_null_token(label)), "row_id", words(label), 0.6, recall=0.95)[0]
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_parents(table(spark, sf_dir, "relations"), table(spark, sf_dir, "nodes"), 3)
 
@@ -59,7 +71,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_fused, p4_found, p4_counts, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_fused, p4_found, p4_counts, p6_found, p6_classes, p6_trees, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 # --- the same results in SQL; token ids, mixes and page kinds have none ---
 
@@ -81,5 +93,6 @@ ORACLE: dict[str, str] = {
     "p4_found": f"WITH {_COPIES} SELECT first AS row_id_a, row_id AS row_id_b FROM g WHERE row_id > first",
     "p4_counts": f"WITH {_COPIES} SELECT first AS row_id, any_value(copies)::BIGINT AS copies FROM g GROUP BY 1",
     "p6_found": f"WITH w AS (SELECT row_id, list_distinct({S.words(_LABEL)}) AS w FROM concepts WHERE NOT {_NULL(_LABEL)}), t AS (SELECT row_id, len(w) AS n, unnest(w) AS word FROM w), m AS (SELECT a.row_id AS x, b.row_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2) SELECT x AS row_id_a, y AS row_id_b FROM m WHERE k / (na + nb - k) >= 0.6",
+    "p6_classes": f"WITH w AS (SELECT min(row_id) AS row_id, w FROM (SELECT row_id, list_sort(list_distinct({S.words(_LABEL)})) AS w FROM concepts WHERE NOT {_NULL(_LABEL)}) GROUP BY 2), t AS (SELECT row_id, len(w) AS n, unnest(w) AS word FROM w), m AS (SELECT a.row_id AS x, b.row_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2) SELECT x AS sid_a, y AS sid_b FROM m WHERE k / (na + nb - k) >= 0.6",
     "p7_found": f"WITH {NAMES}, {_RESOLVED}, b AS (SELECT c, confidence, seq, row_number() OVER (PARTITION BY c, p ORDER BY confidence DESC, seq) AS i FROM r WHERE {_OK}), t AS (SELECT c, seq, row_number() OVER (PARTITION BY c ORDER BY confidence DESC, seq) AS place FROM b WHERE i = 1) SELECT c AS child_uri, place::INT AS place, seq FROM t WHERE place <= 3",
 }

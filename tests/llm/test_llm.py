@@ -12,7 +12,7 @@ from skosloom.llm import queries, setjoin
 from skosloom.llm.canonical import collapse
 from skosloom.llm.encode import Codec, decoded, encoded, serialise, shared_model
 from skosloom.llm.mix import mix
-from skosloom.llm.setjoin import similar_rows
+from skosloom.llm.setjoin import similar_classes, similar_rows, similar_sets
 from skosloom.llm.stuffing import function_words, repetition, shares, stuffed, stuffed_pages
 from skosloom.llm.stuffing import stuffed_share as any_share
 from skosloom.llm.survivor import estimate, fuse, survivors
@@ -224,11 +224,37 @@ def test_set_join_is_complete(spark, monkeypatch, t, small):
     hot = ["de", "la", "fete"]
     data = [(i, " ".join(r.sample(hot, r.randint(0, 3)) + [f"w{r.randrange(12)}" for _ in range(r.randint(0, 5))])) for i in range(250)] + [(900, None), (901, ""), (902, "solo"), (903, "solo solo")]
     df = spark.createDataFrame([(i, x, 1) for i, x in data], "row_id bigint, label string, sid int")
-    monkeypatch.setattr(setjoin.similar_sets, "__defaults__", (7, small))
+    monkeypatch.setattr(setjoin.similar_sets, "__defaults__", (7, small, 1.0))
     got = rows(similar_rows(df, "row_id", words(F.col("label")), t))
     assert got == brute_pairs(data, t)
 
 
+@pytest.mark.parametrize("small", [4096, 2])
+def test_repeated_trees_reach_their_recall(spark, small):
+    r = random.Random(small)
+    data = {i: sorted({f"w{r.randrange(14)}" for _ in range(r.randint(2, 6))}) for i in range(220)}
+    keys = {" ".join(v): i for i, v in data.items()}
+    df = spark.createDataFrame([(i, k) for k, i in keys.items()], "sid int, key string")
+    want = set(brute_pairs([(i, k) for k, i in keys.items()], 0.6))
+    got = rows(similar_sets(df, 0.6, Workspace(spark, "t"), small_pairs=small, recall=0.95))
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.9 * len(want)
+
+
+def test_classes_hold_every_row_once(spark):
+    data = [(1, "a b c"), (2, "c b a"), (3, "a b c d"), (4, "x y"), (5, "c  a b b"), (6, None)]
+    pairs, members = similar_classes(spark.createDataFrame(data, "row_id bigint, label string"), "row_id", words(F.col("label")))
+    assert rows(pairs) == [(1, 3)] and rows(members) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 1)]
+
+
+def test_sets_of_many_items(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(3000)]
+    data = [(i, " ".join(r.sample(base[:700], r.randint(300, 600)))) for i in range(30)] + [(100 + i, " ".join(base[i * 5 : 1000 + i * 9])) for i in range(30)]
+    df = spark.createDataFrame(data, "row_id bigint, label string")
+    got = rows(similar_rows(df, "row_id", words(F.col("label")), 0.6))
+    assert got == brute_pairs(data, 0.6) and len(got) > 100
+
+
 def test_set_join_empty_and_long(spark):
     long = " ".join(f"w{i}" for i in range(400))
     df = spark.createDataFrame([(1, long), (2, long + " more")], "row_id bigint, label string")
