@@ -31,43 +31,41 @@ def between(edges: DataFrame, nodes: DataFrame, key: str = "uri") -> DataFrame:
     return edges.join(ids, edges.child == ids.id, "left_semi").join(ids, F.col("parent") == ids.id, "left_semi")
 
 
-def bounded_redundant(edges: DataFrame, ws: Workspace, max_edges: int = 5) -> DataFrame:
-    """Edges with another path of 2 to ``max_edges`` edges between their ends that avoids the edge.
-
-    One frontier per edge; levels keep each node once, so the paths are not counted.
-    """
-    e = ws.cut(edges.select("parent", "child").distinct())
-    hop = e.select(F.col("parent").alias("n"), F.col("child").alias("m"))
-    front = ws.cut(e.join(hop.withColumnRenamed("n", "parent"), "parent").where((F.col("m") != F.col("child")) & (F.col("m") != F.col("parent"))).select("parent", "child", F.col("m").alias("n")))
-    found = []
-    for _ in range(max_edges - 1):
-        # an edge once found redundant needs no longer paths
-        nxt = ws.cut(front.join(hop, "n").where(F.col("m") != F.col("parent")).select("parent", "child", F.col("m").alias("n")).distinct())
-        hit = ws.cut(nxt.where(F.col("n") == F.col("child")).select("parent", "child"))
+def _detours(asked: DataFrame, hop: DataFrame, ws: Workspace, max_edges: int | None) -> DataFrame:
+    """Those of ``asked`` (``parent``, ``child``) with another path of ``hop`` (``n``, ``m``) between their ends; one frontier per edge."""
+    front = ws.cut(asked.join(hop.withColumnRenamed("n", "parent"), "parent").where((F.col("m") != F.col("child")) & (F.col("m") != F.col("parent"))).select("parent", "child", F.col("m").alias("n")))
+    found, edges = [front.select("parent", "child").limit(0)], 1
+    while (max_edges is None or edges < max_edges) and front.take(1):
+        step = ws.cut(front.join(hop, "n").where(F.col("m") != F.col("parent")).select("parent", "child", F.col("m").alias("n")).distinct())
+        hit = step.where(F.col("n") == F.col("child")).select("parent", "child")
         found.append(hit)
-        front = nxt.join(hit, ["parent", "child"], "left_anti")
+        # an edge once found redundant needs no longer paths
+        front = step.join(hit, ["parent", "child"], "left_anti")
+        edges += 1
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def closure(edges: DataFrame, ws: Workspace) -> DataFrame:
-    """``a``, ``d``: all pairs of an ancestor and a descendant, by doubling of path lengths."""
-    c = ws.cut(edges.select(F.col("parent").alias("a"), F.col("child").alias("d")).distinct())
-    n = c.count()
-    while True:
-        two = c.join(c.select(F.col("a").alias("d"), F.col("d").alias("e")), "d").select("a", F.col("e").alias("d"))
-        c = ws.cut(c.unionByName(two).distinct())
-        more = c.count()
-        if more == n:
-            return c
-        n = more
+def _redundant(edges: DataFrame, ws: Workspace, max_edges: int | None) -> DataFrame:
+    """Edges with a detour, searched from the end of fewer edges, so that neither a hub's children nor a child's parents are squared."""
+    e = ws.cut(edges.select("parent", "child").distinct())
+    out = e.groupBy("parent").agg(F.count(F.lit(1)).alias("n_down"))
+    into = e.groupBy("child").agg(F.count(F.lit(1)).alias("n_up"))
+    # a detour leaves its parent by another edge and enters its child by another
+    asked = ws.cut(e.join(out.where("n_down > 1"), "parent").join(into.where("n_up > 1"), "child"))
+    down = _detours(asked.where("n_down <= n_up").select("parent", "child"), e.select(F.col("parent").alias("n"), F.col("child").alias("m")), ws, max_edges)
+    turned = asked.where("n_down > n_up").select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    up = _detours(turned, e.select(F.col("child").alias("n"), F.col("parent").alias("m")), ws, max_edges)
+    return down.unionByName(up.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
+
+
+def bounded_redundant(edges: DataFrame, ws: Workspace, max_edges: int = 5) -> DataFrame:
+    """Edges with another path of 2 to ``max_edges`` edges between their ends that avoids the edge."""
+    return _redundant(edges, ws, max_edges)
 
 
 def transitive_redundant(edges: DataFrame, ws: Workspace) -> DataFrame:
     """Edges whose child is also reached through another child of the parent; for graphs without cycles."""
-    e = edges.select("parent", "child").distinct()
-    c = closure(e, ws)
-    via = e.select("parent", F.col("child").alias("a")).join(c, "a").where(F.col("d") != F.col("a")).select("parent", F.col("d").alias("child"))
-    return e.join(via, ["parent", "child"], "left_semi")
+    return _redundant(edges, ws, None)
 
 
 def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
@@ -108,17 +106,27 @@ def root_distances(edges: DataFrame, ws: Workspace) -> DataFrame:
         done.append(front.withColumn("depth", F.lit(len(done))))
 
 
-def longest_levels(edges: DataFrame, ws: Workspace, max_rounds: int = 10_000) -> DataFrame:
-    """``id``, ``level``: most nodes on a path from a root, the node included; for graphs without cycles."""
+def longest_levels(edges: DataFrame, ws: Workspace) -> DataFrame:
+    """``id``, ``level``: most nodes on a path from a root, the node included.
+
+    Each round takes off the nodes whose parents are all gone, with their
+    edges, so every edge is taken off once; edges that stay for ever are an
+    error, for they lie on or under a cycle.
+    """
     e = ws.cut(edges.select("parent", "child").distinct())
     front = ws.cut(roots_of(e).select("id"))
     rounds = [front.withColumn("level", F.lit(1))]
-    while len(rounds) <= max_rounds:
-        front = ws.cut(front.join(e.withColumnRenamed("parent", "id"), "id").select(F.col("child").alias("id")).distinct())
+    while True:
+        rest = ws.cut(e.join(front.withColumnRenamed("id", "parent"), "parent", "left_anti"))
+        freed = e.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
+        front = ws.cut(freed.join(rest.select(F.col("child").alias("id")), "id", "left_anti"))
         if not front.take(1):
-            return reduce(DataFrame.unionByName, rounds).groupBy("id").agg(F.max("level").alias("level"))
+            if rest.take(1):
+                raise ValueError("no end of paths: the graph has a cycle")
+            return reduce(DataFrame.unionByName, rounds)
         rounds.append(front.withColumn("level", F.lit(len(rounds) + 1)))
-    raise ValueError("no end of paths: the graph has a cycle")
+        ws.drop(e)
+        e = rest
 
 
 def cyclic_core(edges: DataFrame, ws: Workspace) -> DataFrame:
@@ -152,28 +160,32 @@ def component_labels(edges: DataFrame, ws: Workspace) -> DataFrame:
             return lab
 
 
-def break_cycles(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Edges without cycles, and the edges removed.
+def weakest_edges(edges: DataFrame, ws: Workspace) -> DataFrame:
+    """``parent``, ``child``: the edge of lowest ``confidence`` of every elementary cycle, ties by parent and child.
 
-    Nodes are ordered by depth from the roots, parts that no root reaches from
-    the lowest id of each; an edge of the cyclic core that does not go forward
-    in this order is removed.  The order is total, so no cycle is left; edges
-    outside the core, and forward edges within it, are all kept.
+    An edge is the weakest of some cycle if its child reaches its parent again
+    by stronger edges alone.  Only edges of the cyclic core are asked, each
+    with a frontier of its own that keeps every node once.
     """
-    e = ws.cut(edges.select("parent", "child").distinct())
-    ids = e.select(F.col("parent").alias("id")).unionByName(e.select(F.col("child").alias("id"))).distinct()
-    seeds = ws.cut(roots_of(e).select("id"))
-    while True:
-        order = ws.cut(depths(e, ws, seeds))
-        left = ws.cut(ids.join(order, "id", "left_anti"))
-        if not left.take(1):
-            break
-        inner = e.join(left.withColumnRenamed("id", "parent"), "parent", "left_semi").join(left.withColumnRenamed("id", "child"), "child", "left_semi")
-        more = component_labels(inner, ws).select(F.col("label").alias("id")).distinct()
-        seeds = ws.cut(seeds.unionByName(more).distinct())
-    core = cyclic_core(e, ws)
-    p = order.select(F.col("id").alias("parent"), F.col("depth").alias("dp"))
-    c = order.select(F.col("id").alias("child"), F.col("depth").alias("dc"))
-    back = core.join(p, "parent").join(c, "child").where(F.struct("dc", "child") <= F.struct("dp", "parent")).select("parent", "child")
-    back = ws.cut(back)
-    return without(edges, back), back
+    strength = F.col("confidence") if "confidence" in edges.columns else F.lit(0.5)
+    e = edges.select("parent", "child", F.coalesce(strength, F.lit(0.5)).alias("confidence")).groupBy("parent", "child").agg(F.max("confidence").alias("confidence"))
+    core = ws.cut(ws.cut(e).join(cyclic_core(e, ws), ["parent", "child"], "left_semi"))
+    hop = core.select(F.col("parent").alias("n"), F.struct("confidence", "parent", "child").alias("hop"))
+    front = ws.cut(core.select("parent", "child", F.struct("confidence", "parent", "child").alias("own"), F.col("child").alias("n")))
+    seen, found = [front.select("own", "n")], [front.where(F.col("n") == F.col("parent")).select("parent", "child")]
+    while front.take(1):
+        step = front.where(F.col("n") != F.col("parent")).join(hop, "n").where(F.col("hop") > F.col("own"))
+        step = step.select("parent", "child", "own", F.col("hop.child").alias("n")).distinct()
+        step = ws.cut(step.join(reduce(DataFrame.unionByName, seen), ["own", "n"], "left_anti").select("parent", "child", "own", "n"))
+        hit = step.where(F.col("n") == F.col("parent")).select("parent", "child")
+        found.append(hit)
+        seen.append(step.select("own", "n"))
+        front = step.join(hit, ["parent", "child"], "left_anti")
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def break_cycles(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Edges without cycles, and the edges removed: the weakest of every elementary cycle, so that none is left."""
+    e = ws.cut(edges)
+    gone = ws.cut(weakest_edges(e, ws))
+    return without(e, gone), gone

@@ -6,7 +6,7 @@ concepts, the first or last row wins as each operator states.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skosloom.config import DEFAULTS, Settings
@@ -136,6 +136,18 @@ def all_patterns(c: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return out.unionByName(adjective_pattern(c, settings))
 
 
+def prefix_roots(words: DataFrame, shortest: int = 4) -> DataFrame:
+    """``root``: the distinct common prefixes of ``shortest`` letters or more of any two ``words.word``.
+
+    In sorted order the common prefix of two words is that of some neighbours
+    between them, so neighbours alone give all prefixes, and no pairs are made.
+    """
+    w = words.select("word").where(F.length("word") >= shortest).distinct()
+    before = F.lag("word").over(Window.partitionBy(F.substring("word", 1, shortest)).orderBy("word"))
+    same = F.aggregate(F.sequence(F.lit(1), F.least(F.length("word"), F.length("before"))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(F.col("word"), i, F.lit(1)) == F.substring(F.col("before"), i, F.lit(1))), i).otherwise(n))
+    return w.withColumn("before", before).where(F.col("before").isNotNull()).select(F.substring(F.col("word"), F.lit(1), same).alias("root")).distinct()
+
+
 def resolve_terms(terms: DataFrame, c: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``term``, ``uri``, ``found_by``: a concept's label, else an alternative label of one concept only, else a minted URI.
 

@@ -136,14 +136,14 @@ def group_key(c: Column) -> Column:
 def review_queue(rel: DataFrame) -> DataFrame:
     """Groups of candidates to decide on: ``group_key``, variants, children, mean confidence and the first ten children.
 
-    Variants and the sample are bounded lists: at most ten of each are kept.
+    The sample is its first ten children; the variants are all there.
     """
     cand = of_type(usable(rel), "candidate_parent").withColumn("group_key", group_key(F.col("parent"))).where(F.col("group_key") != "")
     per_child = cand.groupBy("group_key", "child").agg(F.min("seq").alias("seq"))
     w = Window.partitionBy("group_key").orderBy("seq")
     sample = per_child.withColumn("i", F.row_number().over(w)).where(F.col("i") <= 10).groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("seq", "child"))).alias("s"))
     per_name = cand.groupBy("group_key", "parent").agg(F.min("seq").alias("seq"))
-    names = per_name.withColumn("i", F.row_number().over(w)).where(F.col("i") <= 10).groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("seq", "parent"))).alias("v"))
+    names = per_name.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("seq", "parent"))).alias("v"))
     sums = cand.groupBy("group_key").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("child").alias("n_children"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
     out = sums.join(names, "group_key").join(sample, "group_key")
     return out.select("group_key", F.array_join(F.transform("v", lambda x: x["parent"]), " | ").alias("variants"), "n_links", "n_children", "avg_confidence", F.array_join(F.transform("s", lambda x: x["child"]), " | ").alias("children"))
@@ -201,7 +201,7 @@ def method_counts(rel: DataFrame) -> DataFrame:
 
 
 def mined_patterns(rel: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Patterns of children and their parents: kind, text, frequency, the parent most often met, its share, three examples.
+    """Patterns of children and their parents: kind, text, frequency, all parents met, the one most often met and its share, the first three children.
 
     A suffix pattern comes from a child ``x-y`` with ``y`` in the parent, a
     prefix pattern from a first word that is a word of the parent, a contains
@@ -219,12 +219,63 @@ def mined_patterns(rel: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,text:string>>")
     met = r.select("seq", "child", "parent", F.explode(F.concat(F.coalesce(suffix, none), F.coalesce(first, none), inner)).alias("p")).select("seq", "child", "parent", "p.kind", "p.text")
     per = met.groupBy("kind", "text", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-    best = per.groupBy("kind", "text").agg(F.sum("n").alias("frequency"), F.max(F.struct(F.col("n"), (-F.col("first")).alias("f"), F.col("parent"))).alias("b"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n_parents"))
-    kept = best.where(F.col("frequency") >= settings.pattern_min_frequency)
-    return kept.select(F.col("kind").alias("pattern_type"), F.col("text").alias("pattern_text"), "frequency", "n_parents", F.col("b.parent").alias("most_common_parent"), F.round(F.col("b.n") / F.col("frequency"), 6).alias("confidence"))
+    best = per.groupBy("kind", "text").agg(F.array_sort(F.collect_list("parent")).alias("target_parents"), F.sum("n").alias("frequency"), F.max(F.struct(F.col("n"), (-F.col("first")).alias("f"), F.col("parent"))).alias("b"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n_parents"))
+    # the first three children met, ranked before they are collected
+    w = Window.partitionBy("kind", "text").orderBy("seq", "child")
+    some = met.withColumn("i", F.row_number().over(w)).where(F.col("i") <= 3).groupBy("kind", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "child"))), lambda x: x["child"]).alias("examples"))
+    kept = best.where(F.col("frequency") >= settings.pattern_min_frequency).join(some, ["kind", "text"])
+    return kept.select(F.col("kind").alias("pattern_type"), F.col("text").alias("pattern_text"), "frequency", "n_parents", "target_parents", F.col("b.parent").alias("most_common_parent"), F.round(F.col("b.n") / F.col("frequency"), 6).alias("confidence"), "examples")
 
 
 def mode_first_seen(df: DataFrame, key: str, value: str, seq: str = "seq") -> DataFrame:
     """Most frequent value of each key; of equal ones the first seen."""
     per = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))
     return per.groupBy(key).agg(F.max(F.struct(F.col("n"), (-F.col("first")).alias("f"), F.col(value).alias("v"))).alias("b")).select(key, F.col("b.v").alias(value), F.col("b.n").alias("n"))
+
+
+def discovery_statistics(rel: DataFrame) -> DataFrame:
+    """Links of each discovery category: number, children, mean and best confidence."""
+    return usable(rel).groupBy("relation_category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("child_uri").alias("n_children"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.max("confidence").alias("max_confidence"))
+
+
+def zone_members(rel: DataFrame) -> DataFrame:
+    """``zone_id``, ``uri``: members of the zones that links name as their evidence."""
+    return rel.where(F.col("supporting_evidence.zone_id").isNotNull() & F.col("child_uri").isNotNull()).select(F.col("supporting_evidence.zone_id").alias("zone_id"), F.col("child_uri").alias("uri")).distinct()
+
+
+def zone_network(rel: DataFrame) -> DataFrame:
+    """``parent``, ``child``, ``n``, ``confidence``: links with both ends in zones."""
+    nodes = zone_members(rel).select("uri").distinct()
+    e = usable(rel).where(F.col("child_uri").isNotNull() & F.col("parent_uri").isNotNull()).groupBy(F.col("parent_uri").alias("parent"), F.col("child_uri").alias("child")).agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
+    return e.join(nodes.withColumnRenamed("uri", "parent"), "parent", "left_semi").join(nodes.withColumnRenamed("uri", "child"), "child", "left_semi").select("parent", "child", "n", "confidence")
+
+
+def zone_profile(rel: DataFrame) -> DataFrame:
+    """``zone_id``, members, ``dominant_source`` (the first by name of equal ones) and ``source_diversity`` of every zone."""
+    r = rel.where(F.col("supporting_evidence.zone_id").isNotNull()).select(F.col("supporting_evidence.zone_id").alias("zone_id"), "child_uri", "source")
+    per = r.where(F.col("source").isNotNull()).groupBy("zone_id", "source").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("zone_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("source"))).alias("b"), F.count(F.lit(1)).alias("source_diversity"))
+    return r.groupBy("zone_id").agg(F.count_distinct("child_uri").alias("n_members"), F.count(F.lit(1)).alias("n_links")).join(top, "zone_id", "left").select("zone_id", "n_members", "n_links", F.col("b.source").alias("dominant_source"), "source_diversity").orderBy(F.desc("n_links"), "zone_id")
+
+
+def zone_of(rel: DataFrame, zone_id: int) -> DataFrame:
+    """Members of one zone."""
+    return zone_members(rel).where(F.col("zone_id") == zone_id)
+
+
+def pattern_of(patterns: DataFrame, text: str) -> DataFrame:
+    """Patterns of one text."""
+    return patterns.where(F.col("pattern_text") == text)
+
+
+def relation_graph(rel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (``id``, ``label`` of the first link, degrees) and edges with attributes (links, best confidence, sources) of all links with two ends."""
+    r = rel.where(F.col("child_uri").isNotNull() & F.col("parent_uri").isNotNull())
+    c = F.col("confidence")
+    good = F.when(c.isNotNull() & ~F.isnan(c) & c.between(0.0, 1.0), c)
+    edges = r.groupBy(F.col("parent_uri").alias("parent"), F.col("child_uri").alias("child")).agg(F.count(F.lit(1)).alias("n"), F.max(good).alias("confidence"), F.count_distinct("source").alias("n_sources"), F.min("seq").alias("first_seq"))
+    ends = r.select(F.col("child_uri").alias("id"), F.col("child").alias("label"), "seq").unionByName(r.select(F.col("parent_uri").alias("id"), F.col("parent").alias("label"), "seq"))
+    named = ends.groupBy("id").agg(F.min(F.when(F.col("label").isNotNull(), F.struct("seq", "label")))["label"].alias("label"))
+    out = edges.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    into = edges.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n_parents"))
+    return named.join(out, "id", "left").join(into, "id", "left").na.fill(0, ["n_children", "n_parents"]), edges

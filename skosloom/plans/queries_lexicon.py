@@ -67,6 +67,10 @@ def f14_levenshtein(spark, d):
     return c.join(first, "w").select("row_id", F.levenshtein("norm", "other").alias("distance"))
 
 
+def f15_prefix_roots(spark, d):
+    return L.prefix_roots(_c(spark, d).select(F.explode(F.split(F.lower("label"), " ")).alias("word")))
+
+
 def f15_suffix_root(spark, d):
     w = _c(spark, d).select(F.explode(F.split(F.lower("label"), " ")).alias("word")).where(F.length("word") >= 4).distinct()
     return w.select("word", X.stem(F.col("word")).alias("root"))
@@ -150,7 +154,7 @@ def flagship_word_inclusion_topk(spark, d):
     return rel.withColumn("place", F.rank().over(w)).where(F.col("place") <= 3)
 
 
-QUERIES = {f.__name__: f for f in (s1_scan, f1_normalize_text, f3_valid_words, f4_extract_source, f5_broader_from_label, f8_assign_uri, f9_tokenize, f10_de_en_pour, f11_adjective, f14_levenshtein, f15_suffix_root, k4_uri_list, k8_xml_escape, k9_multi_value, a1_word_freq, a2_broader_freq, a3_label_index, a3_alt_index, j1_explicit_broader, j2_label_broader, j4_word_inclusion, j5_pattern_de, j5_pattern_en, j5_pattern_pour, j6_adjectival, j15_alt_resolution, j17_missing_uri, a16_stats, flagship_word_inclusion_topk)}
+QUERIES = {f.__name__: f for f in (s1_scan, f1_normalize_text, f3_valid_words, f4_extract_source, f5_broader_from_label, f8_assign_uri, f9_tokenize, f10_de_en_pour, f11_adjective, f14_levenshtein, f15_suffix_root, f15_prefix_roots, k4_uri_list, k8_xml_escape, k9_multi_value, a1_word_freq, a2_broader_freq, a3_label_index, a3_alt_index, j1_explicit_broader, j2_label_broader, j4_word_inclusion, j5_pattern_de, j5_pattern_en, j5_pattern_pour, j6_adjectival, j15_alt_resolution, j17_missing_uri, a16_stats, flagship_word_inclusion_topk)}
 
 _C = S.with_(S.CONCEPTS)
 _BROADER = S.with_(S.CONCEPTS, S.FIRST, f"told AS (SELECT *, {S.norm('b')} AS key FROM (SELECT row_id, pref, uri, {S.trim_ws('x')} AS b FROM (SELECT row_id, pref, uri, unnest(string_split_regex(broader, '##|, ')) AS x FROM c WHERE broader IS NOT NULL)) WHERE b <> '')")
@@ -173,6 +177,7 @@ ORACLE = {
     "f11_adjective": _C + rf"SELECT row_id, adjective, trim(regexp_replace(replace(norm, adjective, ''), '\s+', ' ', 'g')) AS base FROM (SELECT row_id, norm, regexp_extract(norm, '{S.ADJ}', 1) AS adjective FROM c WHERE regexp_matches(norm, '{S.ADJ}'))",
     "f14_levenshtein": _C + ", w AS (SELECT row_id, norm, split_part(norm, ' ', 1) AS w FROM c WHERE norm <> ''), f AS (SELECT w, arg_min(norm, row_id) AS other FROM w GROUP BY 1) SELECT row_id, levenshtein(norm, other)::INT AS distance FROM w JOIN f USING (w)",
     "f15_suffix_root": _C + f", w AS (SELECT DISTINCT unnest(string_split(lower(label), ' ')) AS w FROM c) SELECT w AS word, {S.STEM} AS root FROM w WHERE length(w) >= 4",
+    "f15_prefix_roots": _C + ", w AS (SELECT DISTINCT unnest(string_split(lower(label), ' ')) AS w FROM c), v AS (SELECT w FROM w WHERE length(w) >= 4) SELECT DISTINCT left(a.w, list_max(list_filter(range(4, least(length(a.w), length(b.w)) + 1), lambda i: left(a.w, i) = left(b.w, i)))) AS root FROM v a JOIN v b ON left(a.w, 4) = left(b.w, 4) AND a.w < b.w",
     "k4_uri_list": f"SELECT uri, {_LIST('coalesce(parents, []::VARCHAR[])')} AS broader, {_LIST('coalesce(children, []::VARCHAR[])')} AS narrower FROM nodes",
     "k8_xml_escape": rf"SELECT doc_id, regexp_replace(replace(replace(replace({_XML}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS xml FROM documents",
     "k9_multi_value": _C + f", v AS (SELECT row_id, list_filter(list_transform(string_split(coalesce(alt, ''), '##'), lambda x: {S.trim_ws('x')}), lambda x: x <> '') AS l FROM c) SELECT row_id, (unnest(range(len(l))))::INT AS pos, unnest(l) AS val FROM v",

@@ -29,17 +29,22 @@ def part_labels(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(alone.withColumn("uri", F.concat(F.lit("s"), F.col("row_id"))))
 
 
+def concept_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned labels of all concepts."""
+    return L.prepare(table(spark, d, "concepts")).select("row_id", "label", "uri")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
 
 def f12_substrings(spark, d):
-    t = X.terms(part_labels(spark, d))
+    t = X.terms(concept_labels(spark, d))
     return X.word_pairs(t, 0.3).select("a", "b", F.array_join(X.substrings(F.col("a"), F.col("b")), "|").alias("found"))
 
 
 def f13_jaccard(spark, d):
-    t = X.terms(part_labels(spark, d))
+    t = X.terms(concept_labels(spark, d))
     return X.word_pairs(t, 0.3).select("a", "b", F.round("jac", 6).alias("jac"))
 
 
@@ -137,6 +142,7 @@ QUERIES = {f.__name__: f for f in (f12_substrings, f13_jaccard, j7_similar_pairs
 _LABELS = r"""p AS (SELECT p_partkey AS row_id, 'p' || p_partkey AS uri, p_name AS label FROM part), alone AS (SELECT DISTINCT label FROM (SELECT string_split(label, ' ')[-1] AS label FROM p UNION SELECT 'small' UNION SELECT 'large')),
 l AS (SELECT * FROM p UNION ALL SELECT i, 's' || i, label FROM (SELECT 1000000 + row_number() OVER (ORDER BY label) AS i, label FROM alone)),
 t AS (SELECT label, min(row_id) AS i, arg_max(uri, row_id) AS uri, list_distinct(regexp_extract_all(lower(label), '[\p{L}\p{N}_]+')) AS w FROM l GROUP BY 1)"""
+_CONCEPT_TERMS = r"t AS (SELECT *, list_distinct(regexp_extract_all(lower(label), '[\p{L}\p{N}\p{M}_]+')) AS w FROM (SELECT label, min(row_id) AS i FROM c WHERE coalesce(label, '') <> '' GROUP BY 1))"
 _JAC = "pr AS (SELECT x.i, y.i AS j, x.label AS a, y.label AS b, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) AS jac FROM t x JOIN t y ON x.i < y.i)"
 _LCS = """sb AS (SELECT i, j, a, b, jac, s, s0 FROM (SELECT *, unnest(range(1, length(a) + 1)) AS s0 FROM pr WHERE jac >= 0.4 - 1e-9), LATERAL (SELECT max(substr(lower(a), s0, n)) AS s FROM range(4, length(a) - s0 + 2) AS r(n) WHERE contains(lower(b), substr(lower(a), s0, n)))),
 rt AS (SELECT i, j, any_value(a) AS a, any_value(b) AS b, any_value(jac) AS jac, arg_max(s, length(s) * 1000 - s0) FILTER (WHERE s IS NOT NULL) AS root FROM sb GROUP BY 1, 2),
@@ -146,7 +152,7 @@ _FAM = S.with_(_LABELS, _JAC, _LCS, "q AS (SELECT * FROM sim WHERE sim >= 0.6 -
 _UNIT = "un AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"
 
 ORACLE = {
-    "f13_jaccard": S.with_(_LABELS, _JAC) + "SELECT a, b, round(jac, 6) AS jac FROM pr WHERE jac >= 0.3",
+    "f13_jaccard": S.with_(S.CONCEPTS, _CONCEPT_TERMS, _JAC) + "SELECT a, b, round(jac, 6) AS jac FROM pr WHERE jac >= 0.3",
     "j7_similar_pairs": _SIM + "SELECT i, j, a, b, round(sim, 6) AS sim, root FROM sim WHERE sim >= 0.6 - 1e-9",
     "a4_families": _FAM + "SELECT root, member, size::BIGINT AS size FROM fam WHERE size >= 2",
     "j8_containment": _FAM + "SELECT x.root, y.member AS child, x.member AS parent FROM fam x JOIN fam y ON x.root = y.root WHERE x.size >= 2 AND length(x.member) < length(y.member) AND contains(lower(y.member), lower(x.member))",

@@ -83,13 +83,32 @@ def statistics_json(stats: dict[str, dict]) -> str:
             return [clean(v) for v in x]
         return None if isinstance(x, float) and not math.isfinite(x) else x
 
-    return json.dumps({"stages": clean(stats), "completed": list(stats)}, ensure_ascii=False, indent=1, default=str)
+    return json.dumps({"stages": clean(stats), **clean(pipeline_summary(stats))}, ensure_ascii=False, indent=1, default=str)
+
+
+def pretty_xml(text: str) -> str:
+    """An XML document indented, without blank lines; for documents of a size that a person reads."""
+    from xml.dom import minidom
+
+    lines = minidom.parseString(text).toprettyxml(indent="  ").splitlines()
+    return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', *(x for x in lines[1:] if x.strip())])
+
+
+def pipeline_summary(stats: dict[str, dict]) -> dict:
+    """Completed stages and the key figures of a run."""
+    pick = lambda stage, *names: {n: stats[stage][n] for n in names if n in stats.get(stage, {})}
+    key = pick("concepts", "n_concepts") | pick("links", "n_relations") | pick("build", "n_nodes", "n_created", "n_edges", "consistency") | pick("hierarchy", "hierarchy_coverage", "orphan_concepts") | pick("optimisation", "cycle_edges_removed", "transitive_removed")
+    return {"completed": list(stats), "key_metrics": key}
 
 
 def html_report(stats: dict[str, dict], recommendations: list[tuple[str, str]], title: str, date: str) -> str:
-    """A page with a table for each stage and the recommendations, from aggregates only."""
+    """A page with an executive summary, a section for each stage, the final metrics and the recommendations, from aggregates only."""
     e = lambda x: html.escape(str(x))
     table = lambda d: "<table>" + "".join(f"<tr><th>{e(k)}</th><td>{e(v)}</td></tr>" for k, v in d.items()) + "</table>"
-    parts = "".join(f"<section><h2>{e(k)}</h2>{table(v)}</section>" for k, v in stats.items())
-    notes = "".join(f"<li>{e(t)}: {e(v)}</li>" for t, v in recommendations)
-    return f'<!doctype html><html lang="fr"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1><p>{e(date)}</p>{parts}<section><h2>Recommandations</h2><ul>{notes}</ul></section></body></html>'
+    section = lambda name, body: f"<section><h2>{e(name)}</h2>{body}</section>"
+    summary = section("Résumé", table(pipeline_summary(stats)["key_metrics"]))
+    final = [k for k in ("hierarchy", "integrity") if k in stats]
+    stages = "".join(section(k, table(v)) for k, v in stats.items() if k not in final)
+    metrics = section("Métriques finales", "".join(f"<h3>{e(k)}</h3>{table(stats[k])}" for k in final)) if final else ""
+    notes = section("Recommandations", "<ul>" + "".join(f"<li>{e(t)}: {e(v)}</li>" for t, v in recommendations) + "</ul>")
+    return f'<!doctype html><html lang="fr"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1><p>{e(date)}</p>{summary}{stages}{metrics}{notes}</body></html>'

@@ -29,8 +29,9 @@ def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     for f in FIELDS:
         if f not in df.columns:
             df = df.withColumn(f, F.lit(None).cast("string"))
-    # file order: ids rise within and across the splits of the scan
-    return df.select(F.monotonically_increasing_id().alias("row_id"), *[F.col(f"`{f}`") for f in FIELDS])
+    # order of the files by name, and of the records within: splits are read in the order of their size, so ids alone would follow that
+    told = df.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), *[F.col(f"`{f}`") for f in FIELDS])
+    return told.orderBy("_file", "_at").select(F.monotonically_increasing_id().alias("row_id"), *[F.col(f"`{f}`") for f in FIELDS])
 
 
 def write_tsv(df: DataFrame, path: str, order_by: str | None = None) -> str:

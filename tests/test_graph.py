@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skosloom.operators import discovery as D
@@ -57,6 +58,66 @@ def test_cycles_are_broken(spark):
     assert set(gone) <= core
 
 
+def elementary_cycles(pairs):
+    out = {}
+    for p, c in pairs:
+        out.setdefault(p, []).append(c)
+    found = []
+
+    def walk(start, path):
+        for c in out.get(path[-1], []):
+            if c == start:
+                found.append([*zip(path, [*path[1:], start], strict=True)])
+            elif c > start and c not in path:
+                walk(start, [*path, c])
+
+    for n in sorted(out):
+        walk(n, [n])
+    return found
+
+
+def test_weakest_edge_of_every_cycle(spark):
+    one = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.4), ("c", "a", 0.7), ("x", "x", 0.1)], "parent string, child string, confidence double")
+    assert rows(G.weakest_edges(one, Workspace(spark, "t"))) == [("b", "c"), ("x", "x")]
+    r = random.Random(6)
+    edge = {(f"v{r.randrange(9)}", f"v{r.randrange(9)}"): r.choice([0.3, 0.5, 0.5, 0.8, None]) for _ in range(24)}
+    want = {min(c, key=lambda e: (0.5 if edge[e] is None else edge[e], *e)) for c in elementary_cycles(edge)}
+    df = spark.createDataFrame([(*k, v) for k, v in edge.items()], "parent string, child string, confidence double")
+    assert set(rows(G.weakest_edges(df, Workspace(spark, "t")))) == want
+
+
+def test_detours_against_brute_force(spark):
+    r = random.Random(9)
+    pairs = sorted({(f"v{r.randrange(12)}", f"v{r.randrange(12)}") for _ in range(40)} | {("hub", f"v{i}") for i in range(12)})
+
+    def paths(p, c, n):
+        todo = [(p,)]
+        while todo:
+            x = todo.pop()
+            for a, b in pairs:
+                if a == x[-1] and b not in x and (a, b) != (p, c):
+                    if b == c:
+                        return True
+                    if len(x) < n:
+                        todo.append((*x, b))
+        return False
+
+    assert rows(G.bounded_redundant(edges(spark, pairs), Workspace(spark, "t"), 3)) == [(p, c) for p, c in pairs if p != c and paths(p, c, 3)]
+
+
+def test_no_levels_with_a_cycle(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        G.longest_levels(edges(spark, [("r", "a"), ("a", "b"), ("b", "a")]), Workspace(spark, "t"))
+    with pytest.raises(ValueError, match="cycle"):
+        G.longest_levels(edges(spark, [("a", "b"), ("b", "a")]), Workspace(spark, "t"))
+
+
+def test_review_keeps_every_variant(spark):
+    rel = spark.createDataFrame([(i, f"c{i}", f"u:{i}", "Chant" + "s" * (i % 2) + "." * i, None, 0.8, "candidate_parent") for i in range(14)], "seq int, child string, child_uri string, parent string, parent_uri string, confidence double, type string")
+    q = R.review_queue(rel).first()
+    assert len(q["variants"].split(" | ")) == 14 and len(q["children"].split(" | ")) == 10
+
+
 def test_components(spark):
     lab = dict(rows(G.component_labels(edges(spark, [("b", "a"), ("b", "c"), ("d", "c"), ("x", "y")]), Workspace(spark, "t"))))
     assert lab == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}

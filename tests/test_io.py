@@ -74,3 +74,45 @@ def test_streaming(spark, sf, tmp_path):
     seen = []
     incremental.start(incremental.windowed_counts(s).select("n"), lambda df, _: seen.extend(r["n"] for r in df.collect()), str(tmp_path / "cp2")).awaitTermination(120)
     assert sum(seen) > 0
+
+
+def test_review_and_zones_in_the_pipeline(spark):
+    from skosloom.plans import pipeline
+    from tests.conftest import rows
+
+    labels = ["Flûte", "Flûte à bec", "Chant de messe", "Chant de Noël", "Chant de marche", "Chant de fête"]
+    fields = ["URI", "skos:prefLabel", "skos:definition", "rdf:type", "skos:altLabel", "skos:hiddenLabel", "skos:narrower", "skos:broader", "skos:scopeNote", "skos:changeNote"]
+    data = [(i, f"u:{i}", x, *[None] * 8) for i, x in enumerate(labels, 1)]
+    concepts = spark.createDataFrame(data, "row_id bigint, " + ", ".join(f"`{f}` string" for f in fields))
+    decisions = spark.createDataFrame([("chant", "A", None, None)], "group_key string, action string, alternative_term string, child_uri string")
+    r = pipeline.run(concepts, zones=True, decisions=decisions)
+    made = [x for x in r.nodes.collect() if x["status"] == "user_created"]
+    assert [x["preflabel"] for x in made] == ["chant"] and set(made[0]["children"]) >= {"u:3", "u:4", "u:5", "u:6"}
+    assert ("u:1", "u:2") in {(p, c) for p, c, *_ in rows(r.edges.select("parent", "child"))}
+    assert r.stats["review"]["A"] >= 4 and r.stats["build"]["n_created"] == 1 and r.stats["build"]["consistency"] <= 100
+    assert rows(r.concepts.where("norm = 'chant'").select("label")) == [("chant",)]
+    pipeline.check_outputs(r)
+    r.export = r.export.drop("broader")
+    with pytest.raises(ValueError, match="broader"):
+        pipeline.check_outputs(r)
+
+
+def test_pretty_xml_and_summary():
+    from skosloom.sources import sinks
+
+    text = sinks.pretty_xml("<a>\n\n<b>x</b></a>")
+    assert text.splitlines() == ['<?xml version="1.0" encoding="UTF-8"?>', "<a>", "  <b>x</b>", "</a>"]
+    stats = {"concepts": {"n_concepts": 3}, "hierarchy": {"hierarchy_coverage": 50.0}}
+    assert sinks.pipeline_summary(stats) == {"completed": ["concepts", "hierarchy"], "key_metrics": {"n_concepts": 3, "hierarchy_coverage": 50.0}}
+    assert "Résumé" in sinks.html_report(stats, [("depth", "good")], "T", "d")
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from skosloom.plans import workspace
+
+    none = lambda *a: None
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=none), sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: SimpleNamespace(get=none)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        workspace.checkpoint_root(cluster)
