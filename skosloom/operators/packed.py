@@ -112,47 +112,32 @@ def _present(text: Column) -> Column:
     return mask
 
 
-def candidates(text: Column) -> Column:
-    """Dialects that can read ``text`` differently from each other."""
-    absent = F.lit(31) - _present(text)
-    quotes = F.when(text.rlike(_LEADS), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    masks = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda m: m.bitwiseAND(absent) == 0)
-    return F.flatten(F.transform(masks, lambda m: F.transform(quotes, lambda q: m * 2 + q)))
-
-
-def _widest(text: Column) -> Column:
-    """The candidate that takes every separator of ``text`` and its quotes."""
-    return F.array_max(candidates(text))
+def candidates(mask: Column, quotes: Column) -> Column:
+    """Dialects that read differently a field with the separators ``mask`` outside of its quotes, and quoted values or none."""
+    masks = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda m: m.bitwiseAND(F.bitwise_not(mask)) == 0)
+    return F.flatten(F.transform(masks, lambda m: F.when(quotes, F.array(m * 2, m * 2 + 1)).otherwise(F.array(m * 2))))
 
 
 def _literal_bits(chars: Column) -> Column:
     return F.when(chars > 0, CHAR_BITS * (chars + 1)).otherwise(0.0)
 
 
-def _price(units: Column, dialect: Column, sep_bits: list[float], escape: float) -> Column:
-    """``bits`` and ``escapes`` of a field under ``dialect``, from its priced pieces (``sep``, ``nxt``, ``chars``, ``quoted``, ``inner``, ``bits``)."""
-    mask, quoting = F.shiftright(dialect, 1), dialect.bitwiseAND(F.lit(1)) == 1
-    left = lambda bit: (bit > 0) & (bit.bitwiseAND(mask) == 0)
-
-    def named(bit: Column) -> Column:
-        out = F.lit(0.0)
-        for i, b in enumerate(sep_bits):
-            out = F.when(bit == 1 << i, b).otherwise(out)
-        return out
-
-    def unit(x: Column) -> Column:
-        joined = left(x["sep"]) | left(x["nxt"])
-        # quotes read as text: the quote itself, and each separator taken within
-        taken = F.aggregate(F.zip_with(F.coalesce(x["inner"], F.array().cast("array<int>")), F.lit([1, 2, 4, 8, 16]), lambda n, bit: F.when(bit.bitwiseAND(mask) > 0, n).otherwise(0)), F.lit(0), lambda a, n: a + n)
-        bare = x["quoted"] & ~quoting
-        escapes = F.when(bare, taken + 1).otherwise(0) + F.when(left(x["sep"]), 1).otherwise(0)
-        own = F.when(bare, _literal_bits(x["chars"]) + taken * (CHAR_BITS + min(sep_bits))).when(joined, CHAR_BITS * (x["chars"] + F.when(left(x["sep"]), 0).otherwise(1))).otherwise(x["bits"])
-        between = F.when(x["sep"] == 0, 0.0).when(left(x["sep"]), CHAR_BITS * F.when(x["sep"] == 1, 2).otherwise(1)).otherwise(named(x["sep"]))
-        return F.struct((own + between).alias("b"), escapes.cast("bigint").alias("e"))
-
-    each = F.transform(units, unit)
-    total = F.aggregate(each, F.struct(F.lit(0.0).alias("b"), F.lit(0).cast("bigint").alias("e")), lambda a, x: F.struct((a["b"] + x["b"]).alias("b"), (a["e"] + x["e"]).alias("e")))
-    return F.transform(F.array(total), lambda x: F.struct((x["b"] + x["e"] * F.lit(escape) + F.bit_count(dialect)).alias("bits"), x["e"].alias("escapes")))[0]
+def _price(sep_bits: list[float]) -> tuple[Column, Column]:
+    """Bits and escapes of a piece (``sep``, ``nxt``, ``chars``, ``quoted``, ``inner``, ``alone``) under ``dialect``."""
+    mask, quoting = F.shiftright("dialect", 1), F.col("dialect").bitwiseAND(F.lit(1)) == 1
+    left = lambda x: (F.col(x) > 0) & (F.col(x).bitwiseAND(mask) == 0)
+    kinds = range(len(SEPARATORS))
+    named, own_chars = F.lit(0.0), F.lit(0.0)
+    for i in kinds:
+        named = F.when(F.col("sep") == 1 << i, sep_bits[i]).otherwise(named)
+        own_chars = F.when(F.col("sep") == 1 << i, CHAR_BITS * len(SEPARATORS[i])).otherwise(own_chars)
+    # quotes read as text: the quote itself, and each separator taken within
+    taken = sum((F.when(mask.bitwiseAND(F.lit(1 << i)) > 0, F.col("inner")[i]).otherwise(0) for i in kinds), F.lit(0))
+    bare = F.col("quoted") & ~quoting
+    joined = F.when(left("sep"), CHAR_BITS * F.col("chars")).when(left("nxt"), CHAR_BITS * (F.col("chars") + 1))
+    own = F.when(bare, _literal_bits(F.col("chars")) + taken * (CHAR_BITS + min(sep_bits))).otherwise(F.coalesce(joined, F.col("alone")))
+    escapes = F.when(bare, taken + 1).otherwise(0) + F.when(left("sep"), 1).otherwise(0)
+    return own + F.when(left("sep"), own_chars).otherwise(named), escapes
 
 
 def choose_dialects(texts: DataFrame, ws: Workspace, first: float = FIRST_ESCAPE, learn: bool = True) -> tuple[DataFrame, int]:
@@ -166,29 +151,34 @@ def choose_dialects(texts: DataFrame, ws: Workspace, first: float = FIRST_ESCAPE
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.repartition(parts, "text").withColumn("text_id", F.monotonically_increasing_id())
     texts = ws.cut(texts.withColumn("p", pieces(F.col("text"))))
-    items = texts.select("text_id", "n", F.posexplode("p").alias("pos", "v"))
-    count = lambda bit: F.coalesce(F.sum(F.when(F.col("v.sep") == bit, F.col("n"))), F.lit(0)).alias(f"s{bit}")
-    sums = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("values"), F.coalesce(F.sum(F.col("n") * F.col("v.chars")), F.lit(0)).alias("chars"), *[count(1 << i) for i in range(5)]).first()
+    mask = F.aggregate("p", F.lit(0), lambda a, x: a.bitwiseOR(x["sep"]))
+    marked = texts.select("text_id", "n", "p", mask.alias("mask"), F.exists("p", lambda x: x["quoted"]).alias("quotes"))
+    items = marked.select("text_id", "n", "mask", "quotes", F.posexplode("p").alias("pos", "v"), "p")
+    items = items.select("text_id", "n", "mask", "quotes", "v.*", F.coalesce(F.get("p", F.col("pos") + 1)["sep"], F.lit(0)).alias("nxt"))
+    count = lambda bit: F.coalesce(F.sum(F.when(F.col("sep") == bit, F.col("n"))), F.lit(0)).alias(f"s{bit}")
+    sums = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("values"), F.coalesce(F.sum(F.col("n") * F.col("chars")), F.lit(0)).alias("chars"), *[count(1 << i) for i in range(5)]).first()
     taken = max(1, sum(sums[f"s{1 << i}"] for i in range(5)))
     sep_bits = [-math.log2(0.5 * sums[f"s{1 << i}"] / taken + 0.1) for i in range(5)]
-    counts = ws.cut(items.where(F.col("v.val") != "").groupBy(F.col("v.val").alias("val")).agg(F.sum("n").alias("n")).where(F.col("n") > 1))
+    counts = ws.cut(items.where(F.col("val") != "").groupBy("val").agg(F.sum("n").alias("n")).where(F.col("n") > 1))
     codes = counts.select("val", F.log2(F.lit(float(sums["values"] + 1)) / F.col("n")).alias("code_bits"))
     frequent = counts.orderBy(F.desc("n"), "val").limit(HOT_KEYS).select("val")
-    priced = lookup(items.select("text_id", "pos", F.col("v.val").alias("val")), codes, "val", ["code_bits"], hot=frequent, salt="text_id")
+    priced = lookup(items, codes, "val", ["code_bits"], hot=frequent, salt="text_id")
     literal = _literal_bits(F.length("val"))
-    bits = priced.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.least(literal, F.coalesce("code_bits", literal)).alias("b")))), lambda x: x["b"]).alias("bits"))
-    units = F.transform("p", lambda x, i: F.struct(x["sep"].alias("sep"), F.coalesce(F.get("p", i + 1)["sep"], F.lit(0)).alias("nxt"), x["chars"].alias("chars"), x["quoted"].alias("quoted"), x["inner"].alias("inner"), (F.get("bits", i) + F.when(x["quoted"], 2.0).otherwise(0.0)).alias("bits")))
-    told = ws.cut(texts.join(bits, "text_id").select("text", "n", units.alias("units")))
+    alone = F.least(literal, F.coalesce("code_bits", literal)) + F.when(F.col("quoted"), 2.0).otherwise(0.0)
+    tried = priced.withColumn("alone", alone).withColumn("dialect", F.explode(candidates(F.col("mask"), F.col("quotes"))))
+    bits, escapes = _price(sep_bits)
+    widest = F.col("dialect") == F.col("mask") * 2 + F.col("quotes").cast("int")
+    cost = tried.select("text_id", "n", "dialect", bits.alias("b"), escapes.alias("e"), widest.alias("widest"))
+    cost = ws.cut(cost.groupBy("text_id", "dialect").agg(F.sum("b").alias("b"), F.sum("e").alias("e"), F.first("n").alias("n"), F.first("widest").alias("widest")))
     seen, escape = -1, max(first, math.log2(2.0 * max(1, sums["chars"]) / taken)) if first >= FIRST_ESCAPE else first
     while True:
-        prices = F.transform(candidates(F.col("text")), lambda d: F.struct(_price(F.col("units"), d, sep_bits, escape).alias("c"), d.alias("d")))
-        best = F.array_min(F.transform(prices, lambda x: F.struct(F.round(x["c"]["bits"], 6).alias("bits"), (-x["d"]).alias("d"), x["c"]["escapes"].alias("escapes"))))
-        found = told.select("text", "n", best.alias("b")).select("text", "n", (-F.col("b.d")).alias("dialect"), F.col("b.escapes").alias("escapes"))
-        found = ws.cut(found.where(F.col("dialect") != _widest(F.col("text"))))
-        left, many = found.agg(F.coalesce(F.sum(F.col("n") * F.col("escapes")), F.lit(0)), F.count(F.lit(1))).first()
+        bits = F.round(F.col("b") + F.col("e") * F.lit(escape) + F.bit_count("dialect"), 6)
+        best = cost.groupBy("text_id").agg(F.min(F.struct(bits.alias("bits"), (-F.col("dialect")).alias("d"), "e", "n", "widest")).alias("x"))
+        found = ws.cut(best.where(~F.col("x.widest")).select("text_id", (-F.col("x.d")).alias("dialect"), "x.e", "x.n"))
+        left, many = found.agg(F.coalesce(F.sum(F.col("n") * F.col("e")), F.lit(0)), F.count(F.lit(1))).first()
         # with none left a higher price changes nothing
         if left in (0, seen) or not learn:
-            return found.select("text", "dialect"), many
+            return texts.join(found, "text_id").select("text", "dialect"), many
         ws.drop(found)
         seen, escape = left, math.log2((sums["chars"] + 1.0) / (left + 1))
 
@@ -208,6 +198,7 @@ def split_packed(df: DataFrame, fields: list[str], keep: list[str], pos: str = "
     other, many = choose_dialects(rows.where(open_text).groupBy("text").agg(F.count(F.lit(1)).alias("n")), ws)
     told, vals = rows, parse(F.col("text"), FULL)
     if many:
+        other = ws.cut(other)
         told = lookup(rows, other, "text", ["dialect"])
         vals = F.when(F.col("dialect").isNull(), vals).otherwise(parse(F.col("text"), F.coalesce("dialect", F.lit(FULL))))
     out = told.select(*[f"_k{i}" for i in range(len(keep))], "_field", F.posexplode(vals).alias("_pos", "_v"))
