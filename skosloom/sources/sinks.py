@@ -109,6 +109,6 @@ def html_report(stats: dict[str, dict], recommendations: list[tuple[str, str]],
     summary = section("Résumé", table(pipeline_summary(stats)["key_metrics"]))
     final = [k for k in ("hierarchy", "integrity") if k in stats]
     stages = "".join(section(k, table(v)) for k, v in stats.items() if k not in final)
-    metrics = section("Métriques finales", "".join(f"<h3>{e(k)}</h3>{table(stats[k])}" for k in final)) if final else ""
+    metrics = section("Métriques finales", "") + "".join(section(k, table(stats[k])) for k in final) if final else ""
     notes = section("Recommandations", "<ul>" + "".join(f"<li>{e(t)}: {e(v)}</li>" for t, v in recommendations) + "</ul>")
     return f'<!doctype html><html lang="fr"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1><p>{e(date)}</p>{summary}{stages}{metrics}{notes}</body></html>'
