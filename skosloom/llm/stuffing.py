@@ -40,6 +40,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skosloom.plans.workspace import Workspace
+
 LIST_SHARE, PROSE_SHARE = 0.12, 0.26
 WINDOW, MAX_LAG, SHORT_LAG = 128, 24, 6
 REGULAR, SHORT_REGULAR, MENU, MENU_TERMS, DENSE = 0.25, 0.6, 0.08, 10, 0.5
@@ -126,19 +128,26 @@ def _best_lag(hits: list[np.ndarray], first: np.ndarray, end: np.ndarray, longes
     return best
 
 
+def _of(unique: list[str], f, kind) -> np.ndarray:
+    return np.fromiter(map(f, unique), dtype=kind, count=len(unique))
+
+
+def _segments(texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Token numbers, the tokens, the kind of each occurrence, and the number of its segment."""
+    codes, unique, number = _read(texts)
+    kind = _of(unique, _kind, np.int8)[codes]
+    kind[(kind == END) & number & _of(unique, lambda t: t[0] not in "。！？", bool)[codes]] = NONE
+    cut = (kind == DOC) | (kind == LINE) | (kind == END)
+    return codes, unique, kind, np.cumsum(cut) - cut  # a mark belongs to the segment it closes
+
+
 def shares(texts: list[str | None], words: frozenset[str] = frozenset()) -> np.ndarray:
     """Share of the characters of each text that are stuffing, for all texts at once; ``words`` are function words."""
-    codes, unique, number = _read(texts)
+    codes, unique, kind, seg = _segments(texts)
     if not len(codes):
         return np.zeros(len(texts))
-    of_token = lambda f, kind: np.fromiter(map(f, unique), dtype=kind, count=len(unique))
-    kinds, size = of_token(_kind, np.int8), of_token(len, np.int64)
-    is_word, hashed, letter = of_token(lambda t: t in words, bool), of_token(lambda t: t[0] in "#@", bool), of_token(lambda t: bool(_HAS_ALONE.match(t)), bool)
-    size[kinds == TAG] = [int(t[1:]) for t in unique if t[0] == "\x02"]
-    kind = kinds[codes]
-    kind[(kind == END) & number & of_token(lambda t: t[0] not in "。！？", bool)[codes]] = NONE
-    cut = (kind == DOC) | (kind == LINE) | (kind == END)
-    seg = np.cumsum(cut) - cut  # a mark belongs to the segment it closes
+    size = _of(unique, lambda t: int(t[1:]) if t[0] == "\x02" else len(t), np.int64)
+    is_word, hashed, letter = _of(unique, lambda t: t in words, bool), _of(unique, lambda t: t[0] in "#@", bool), _of(unique, lambda t: bool(_HAS_ALONE.match(t)), bool)
     n_segs = int(seg[-1]) + 1
     closes = np.append((kind[1:] == LINE) | (kind[1:] == DOC), True)
     ended = np.zeros(n_segs, dtype=bool)
@@ -235,24 +244,56 @@ def repetition(codes: np.ndarray) -> tuple[float, float]:
     return float(_best_lag(hits, *ends, MAX_LAG)[0]), float(_best_lag(hits, *ends, SHORT_LAG)[0])
 
 
-def function_words(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def _chunks(texts: list[str | None]) -> Iterator[slice]:
+    """Ranges of ``texts`` of about ``CHUNK`` characters."""
+    first = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= CHUNK or i == len(texts):
+            yield slice(first, i)
+            first, size = i, 0
+
+
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of each language (``g``) with each word in a sentence, and (null) with any, by batches."""
+    for b in batches:
+        texts, langs = b["text"].tolist(), b["g"].to_numpy()
+        for part in _chunks(texts):
+            codes, unique, kind, seg = _segments(texts[part])
+            if not len(codes):
+                continue
+            ended = np.zeros(int(seg[-1]) + 1, dtype=bool)
+            ended[seg[kind == END]] = True
+            at = (kind == WORD) & ended[seg]
+            # a word counts once a document, a document once a language
+            pairs = np.unique(np.cumsum(kind == DOC)[at].astype(np.int64) * (len(unique) + 1) + codes[at])
+            doc, word = pairs // (len(unique) + 1), pairs % (len(unique) + 1)
+            group, names = pd.factorize(langs[part])
+            found, n = np.unique(group[doc].astype(np.int64) * len(unique) + word, return_counts=True)
+            yield pd.DataFrame({"g": names[found // len(unique)], "word": np.array(unique, dtype=object)[found % len(unique)], "n": n})
+            any_, n = np.unique(group[np.unique(doc)], return_counts=True)
+            yield pd.DataFrame({"g": names[any_], "word": None, "n": n})
+
+
+def function_words(documents: DataFrame, text: str = "text", lang: str = "lang", ws: Workspace | None = None) -> DataFrame:
     """``word``: words that many documents of one language have in their sentences, counted over all documents.
 
-    A language is what ``lang`` says (trimmed, in lower case; null is one, too)
+    Runs without the end of a sentence have no say, so lists have none.  A
+    language is what ``lang`` says (trimmed, in lower case; null is one, too)
     if it has ``LANGUAGE_SHARE`` of the documents.  As a word must be in
     ``WORD_SHARE`` of a language's documents, there are at most
     1 / ``LANGUAGE_SHARE`` times 1 / ``WORD_SHARE`` times the words of an
     average document, whatever the size of the corpus.
     """
-    group = F.lower(F.trim(F.coalesce(F.col(lang), F.lit(""))))
-    # runs without the end of a sentence are left out: lists have no say
-    prose = F.regexp_replace(F.lower(F.col(text)), r"(?<![^.!?…。！？\r\n])[^.!?…。！？\r\n]++(?=[\r\n]|\z)", "")
-    own = documents.where(F.col(text).isNotNull()).select(group.alias("g"), F.array_distinct(F.regexp_extract_all(prose, F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)).alias("w"))
-    sizes = own.where(F.size("w") > 0).groupBy("g").agg(F.count(F.lit(1)).alias("docs"))
+    ws = ws or Workspace(documents.sparkSession, "words")
+    own = documents.where(F.col(text).isNotNull()).select(F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))).alias("g"), F.col(text).alias("text"))
+    counts = own.mapInPandas(_word_counts, "g string, word string, n bigint").groupBy("g", "word").agg(F.sum("n").alias("n"))
+    counts = ws.cut(counts.where(F.col("word").isNull() | (F.col("n") >= WORD_DOCS)))
+    sizes = counts.where(F.col("word").isNull()).select("g", F.col("n").alias("docs"))
     total = sizes.agg(F.sum("docs").alias("all"))
     large = sizes.join(F.broadcast(total), how="inner").where(F.col("docs") >= F.col("all") * LANGUAGE_SHARE)
-    counts = own.select("g", F.explode("w").alias("word")).groupBy("g", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_DOCS)
-    return counts.join(F.broadcast(large), "g").where(F.col("n") >= F.col("docs") * WORD_SHARE).select("word").distinct()
+    known = counts.where(F.col("word").isNotNull()).join(large, "g").where(F.col("n") >= F.col("docs") * WORD_SHARE)
+    return known.select("word").distinct()
 
 
 def stuffed(text: Column, words: frozenset[str]) -> Column:
@@ -261,15 +302,8 @@ def stuffed(text: Column, words: frozenset[str]) -> Column:
     @F.pandas_udf("double")
     def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            texts, out, held, size = s.tolist(), [], [], 0
-            for t in texts:
-                held.append(t)
-                size += len(t or "")
-                if size >= CHUNK:
-                    out.append(shares(held, words))
-                    held, size = [], 0
-            if held:
-                out.append(shares(held, words))
+            texts = s.tolist()
+            out = [shares(texts[part], words) for part in _chunks(texts)]
             yield pd.Series(np.concatenate(out) if out else [], index=s.index, dtype="float64")
 
     return share(text)
