@@ -3,7 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from skosloom.operators.packed import FULL, candidates, choose_dialects, parse, split_packed
+from skosloom.operators import packed
+from skosloom.operators.packed import FIRST_ESCAPE, FULL, candidates, choose_dialects, parse, split_packed
 from skosloom.plans.workspace import Workspace
 from tests.conftest import rows
 
@@ -94,6 +95,36 @@ def test_bits_decide(spark):
     assert low["a##b"] == high["a##b"] == ["a", "b"] and high['"x, y"##z'] == ["x, y", "z"]
 
 
+def test_no_pricing_without_effect(spark, monkeypatch):
+    """At the price of the stated format no text takes another dialect, so none is priced."""
+    r = random.Random(7)
+    parts = ["a", "word", "Motet, B", '"x, y"', '"', '""', ",", ";", "|", "##", "#", "\n", " ", "\t"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 30))) for _ in range(1000)]
+    df = spark.createDataFrame([(t, 1 + i % 300) for i, t in enumerate(sorted(set(texts)))], "text string, n bigint")
+    assert choose_dialects(df, Workspace(spark, "t"), FIRST_ESCAPE)[1] == 0
+    monkeypatch.setattr(packed, "choose_dialects", lambda *a, **k: 1 / 0)
+    found = split_packed(spark.createDataFrame([(1, 'a, "b; c"##d')], "id bigint, f string"), ["f"], ["id"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == [(1, "f", 1, "a"), (1, "f", 2, "b; c"), (1, "f", 3, "d")]
+
+
+def test_lower_price_decides_the_rows(spark):
+    """Below that price the chosen dialects are those that the rows are read in; what is learned follows the table."""
+    text = [",".join(chr(0x4E00 + 9 * i + k) for k in range(4)) + "##" + chr(0x4E08 + 9 * i) for i in range(60)]
+    lists = [f"a{i}##b{i}##c{i}##d{i}, e{i}" for i in range(600)]
+
+    def read(values, learn):
+        df = spark.createDataFrame(list(enumerate(values)), "id bigint, f string")
+        got = {}
+        for i, _, pos, val in split_packed(df, ["f"], ["id"], escape=0.5, learn=learn).collect():
+            got.setdefault(i, []).append((pos, val))
+        return [[v for _, v in sorted(got[i])] for i in range(len(values))]
+
+    assert read(text, False) == read(text, True) == [t.split("##") for t in text]
+    assert read(text + lists, False)[:60] == [t.split("##") for t in text]
+    assert read(text + lists, True) == [brute(t) for t in text + lists]
+
+
 def test_dialects_offered(spark):
     df = spark.createDataFrame([(0, False), (2, False), (2, True), (3, False)], "m int, q boolean").select(candidates(F.col("m"), F.col("q")))
     assert [r[0] for r in df.collect()] == [[0], [0, 4], [0, 1, 4, 5], [0, 2, 4, 6]]
