@@ -199,3 +199,25 @@ def test_close_pairs_in_blocks(spark, monkeypatch):
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if u[i] @ u[j] >= 0.5}
     got = [(a, b) for a, b, _ in rows(D.similar_vectors(df, "id", "vector", 0.5))]
     assert sorted(want) == sorted(got)
+
+
+def test_word_pairs_in_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 7)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(12)] + ["de"] * 6 + ["à"] * 4 + ["en"] * 3
+    labels = sorted({" ".join(r.choices(words, k=r.choice([1, 2, 3, 5, 5, 9]))) for _ in range(150)}, key=lambda x: (len(x) % 7, x))
+    df = spark.createDataFrame([(i, x, f"u{i}") for i, x in enumerate(labels)], "row_id bigint, label string, uri string")
+    sets = [set(x.split()) for x in labels]
+    for least in (0.3, 0.6 - 0.2, 1.0):
+        want = [(i, j, labels[i], labels[j], len(a & b) / len(a | b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) / len(a | b) >= least]
+        assert rows(X.word_pairs(X.terms(df), least)) == sorted(want, key=repr)
+
+
+def test_pairs_of_a_frequent_word_are_dropped_by_the_join(spark):
+    """1,200 labels share two words of five: 719,400 pairs meet, and the join itself drops them."""
+    df = spark.createDataFrame([(i, f"de à x{i} y{i} z{i}", f"u{i}") for i in range(1200)], "row_id bigint, label string, uri string")
+    found = X.word_pairs(X.terms(df), 0.3)
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(plan) if "Join" in x)
+    assert "bit_count" in plan[join] and not any("Aggregate" in x for x in plan[:join])
