@@ -1,5 +1,7 @@
+import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skosloom.functions import text as X
 from skosloom.functions.labels import label_key, words
+from skosloom.operators import similarity
 from skosloom.operators.similarity import common_substrings
 
 
@@ -91,3 +94,22 @@ def test_label_key(spark):
     assert one(spark, "A (b) (c)", label_key) == "a b"
     assert one(spark, None, label_key) == ""
     assert one(spark, "a\nb (x)", label_key) == "a b"
+
+
+def test_terms_are_cut_once_a_batch(monkeypatch):
+    r = random.Random(4)
+    texts = ["".join(r.choices("abc ", k=r.randint(0, 24))) for _ in range(60)] + [None, "", "Motet en fa", "MOTET EN SOL"]
+    pairs = [(a, b) for a in texts for b in texts]
+
+    def brute(a, b):
+        x, y, kept = (a or "").lower().strip(), (b or "").lower().strip(), []
+        for i in range(len(x) - 3):
+            s = next((x[i:e] for e in range(len(x), i + 3, -1) if x[i:e] in y), "")
+            if s and not any(s in k for k in kept):
+                kept = [k for k in kept if k not in s] + [s]
+        return kept
+
+    cut, plain = [], similarity._grams
+    monkeypatch.setattr(similarity, "_grams", lambda t, n: cut.append(t) or plain(t, n))
+    assert similarity._all_common(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs])) == [brute(a, b) for a, b in pairs]
+    assert len(cut) == len(set(texts))
